@@ -55,7 +55,7 @@ class Published:
     vault: vaults.Vault
 
 
-_published: dict[tuple, tuple[str, dict]] = {}
+_published: dict[tuple, tuple[str, dict, bool]] = {}
 
 
 def published(spark: SparkSession, sf_dir: str) -> Published:
@@ -70,11 +70,12 @@ def published(spark: SparkSession, sf_dir: str) -> Published:
         built = vaults.build_vault(source, PII, demo_key(spark))
         store.write(built, "vault", partition_by=("column_name",))
         stored = spark.read.schema(vault_schema).parquet(store.path("vault"))
-        _published[wanted] = store.root, dict(vaults.Vault.open(stored).slices)
-    root, slices = _published[wanted]
+        unique = vaults.vault_duplicates(stored).isEmpty()
+        _published[wanted] = store.root, dict(vaults.Vault.open(stored).slices), unique
+    root, slices, unique = _published[wanted]
     return Published(
         spark.read.schema(source.schema).parquet(f"{root}/customer_data"),
-        vaults.Vault(spark.read.schema(vault_schema).parquet(f"{root}/vault"), slices),
+        vaults.Vault(spark.read.schema(vault_schema).parquet(f"{root}/vault"), slices, unique),
     )
 
 
@@ -373,7 +374,7 @@ def tokenization_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def access_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = published(spark, sf_dir)
-    return audit.access_matrix(p.table, PII, p.vault, DEMO_POLICY)
+    return audit.access_matrix(p.table, PII, p.vault.frame, DEMO_POLICY)
 
 
 def table_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,13 @@ def tokenizable(cell: Column) -> Column:
 
 
 def readable(cell: Column) -> Column:
-    """Not blank at read, where every white-space character counts."""
-    return F.btrim(cell, F.lit(READ_BLANKS)) != ""
+    """Not blank at read, where every white-space character counts.
+
+    A first byte in the printable ASCII range settles it with two comparisons; only other cells
+    are searched for white space.
+    """
+    printable = (cell >= "!") & (cell < "\x7f")
+    return F.when(printable, F.lit(True)).otherwise(F.btrim(cell, F.lit(READ_BLANKS)) != "")
 
 
 def has_pii(spec: PiiSpec) -> Column:

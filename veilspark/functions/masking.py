@@ -15,12 +15,11 @@ ON_UNKNOWN = ("redact", "token")
 
 def mask(value: Column) -> Column:
     """Partial hiding: `j***@example.com` for e-mail, `J***an` otherwise, all stars up to length 3."""
-    email = F.concat(F.substring(value, 1, 1), F.lit("***@"), F.substring_index(value, "@", -1))
-    ends = F.concat(F.substring(value, 1, 1), F.lit("***"), F.right(value, F.lit(2)))
+    first = F.substring(value, 1, 1)
     return (
-        F.when(F.instr(value, "@") > 1, email)
+        F.when(F.instr(value, "@") > 1, F.concat(first, F.lit("***@"), F.substring_index(value, "@", -1)))
         .when(F.length(value) <= 3, F.repeat(F.lit("*"), F.length(value)))
-        .otherwise(ends)
+        .otherwise(F.concat(first, F.lit("***"), F.substring(value, -2, 2)))
     )
 
 
@@ -53,13 +52,18 @@ def visible(mode: str | None, token: Column, value: Column, on_unknown: str = "r
     return F.when(hidden, F.lit(REDACTED_TEXT)).otherwise(token)
 
 
-def visible_by(mode: Column, token: Column, value: Column, on_unknown: str = "token") -> Column:
-    """The cell under a mode that is itself a column. An unknown mode fails the query."""
-    known = F.when(mode == PLAIN_TEXT, visible(PLAIN_TEXT, token, value))
-    known = known.when(mode == MASKED, visible(MASKED, token, value))
-    known = known.when(mode == REDACTED, visible(REDACTED, token, value, on_unknown))
+def checked_mode(mode: Column) -> Column:
+    """A mode column that fails the query where it holds an unknown mode or NULL."""
     message = F.concat(F.lit("unknown redaction mode: "), F.coalesce(mode, F.lit("NULL")))
-    return known.otherwise(F.raise_error(message).cast("string"))
-
-
-__all__ = ["MODES", "REDACTED_TEXT", "mask", "mask_sql", "visible", "visible_by"]
+    return F.when(mode.isin(*MODES), mode).otherwise(F.raise_error(message).cast("string"))
+
+
+def visible_by(
+    is_plain: Column, is_masked: Column, token: Column, value: Column, on_unknown: str = "token"
+) -> Column:
+    """The cell where the mode differs by row: PLAIN_TEXT, MASKED, and REDACTED otherwise."""
+    known = F.when(is_plain, value).when(is_masked, mask(value)).otherwise(F.lit(REDACTED_TEXT))
+    if on_unknown == "redact":
+        hidden = ~(is_plain | is_masked)
+        return F.when(hidden, visible(REDACTED, token, value)).when(value.isNull(), token).otherwise(known)
+    return F.when(value.isNull(), token).otherwise(known)

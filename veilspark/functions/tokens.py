@@ -45,13 +45,20 @@ class TokenKey:
         return self._frame.select("opad").scalar()
 
 
-def hmac_token(key: TokenKey, namespace: Column, value: Column) -> Column:
-    """`tok_` and the hex HMAC-SHA256 of `namespace|value`; NULL for NULL."""
-    message = F.concat(namespace, F.lit("|"), value).cast("binary")
-    inner = F.unhex(F.sha2(F.concat(key.inner(), message), 256))
+def hmac_token(key: TokenKey, message: Column) -> Column:
+    """`tok_` and the hex HMAC-SHA256 of `message`; NULL for NULL."""
+    inner = F.unhex(F.sha2(F.concat(key.inner(), message.cast("binary")), 256))
     return F.concat(F.lit(TOKEN_PREFIX), F.sha2(F.concat(key.outer(), inner), 256))
 
 
+def value_token(key: TokenKey, column: str | Column, value: Column) -> Column:
+    """The token of a value. The column name is part of the message, so equal values in two columns
+    get unrelated tokens."""
+    if isinstance(column, str):
+        return hmac_token(key, F.concat(F.lit(f"{column}|"), value))
+    return hmac_token(key, F.concat(column, F.lit("|"), value))
+
+
 def mock_token(value: Column, key: Column, seed: int = 0) -> Column:
     """A stand-in token for demos. Seeded by row key, so a retried task gives the same token."""
     salted = F.concat(value, F.lit("|"), key.cast("string"), F.lit(f"|{seed}"))

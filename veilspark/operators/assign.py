@@ -96,7 +96,7 @@ def assign_tokens(
                 raise VaultReplyError(f"{column}: {sum(t is None for t in tokens)} records without a token")
             yield batch.assign(token=tokens)[["column_name", "token", "value", "n_cells"]]
 
-    request = hmac_token(key, F.concat(F.lit("request|"), F.col("column_name")), F.col("value"))
+    request = hmac_token(key, F.concat(F.lit("request|"), "column_name", F.lit("|"), "value"))
     sent = (
         cells.withColumn("request_id", request)
         .repartition(connections, "column_name", "value")

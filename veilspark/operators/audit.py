@@ -7,10 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.functions.cells import readable, text, tokenizable
-from veilspark.functions.masking import REDACTED_TEXT, mask, visible
-from veilspark.operators.vault import VALUE_SUFFIX, Vault, resolve, unresolved
-from veilspark.spec import DEFAULT_BATCH_SIZE, MODES, PiiSpec, Policy
+from veilspark.functions.cells import long_cells, readable, text, tokenizable
+from veilspark.functions.masking import REDACTED_TEXT, visible
+from veilspark.operators.vault import unresolved
+from veilspark.spec import DEFAULT_BATCH_SIZE, MASKED, MODES, PiiSpec, Policy
 
 KINDS = ("plain", "masked", "redacted", "token", "blank")
 COMPLETE = "Tokenization Complete"
@@ -86,36 +86,44 @@ def tokenization_status(tokenized: DataFrame, spec: PiiSpec, vault: DataFrame) -
 def access_matrix(
     tokenized: DataFrame,
     spec: PiiSpec,
-    vault: Vault,
+    vault: DataFrame,
     policy: Policy,
     unlisted: str = "PUBLIC",
     on_unknown: str = "redact",
 ) -> DataFrame:
     """`(role, column_name, mode, n_plain, n_masked, n_redacted, n_token, n_blank)`.
 
-    Every cell is rendered once per distinct mode by the rule the governed view uses, and classified
-    by comparing it with the vault. Roles are attached to the finished counts, one row per column.
+    What a role sees of a cell depends on its token alone, so cells are first reduced to distinct
+    tokens with counts: a hot token is looked up and rendered once, by the rule the governed view
+    uses. Roles are attached to the finished counts, one row per column.
     """
-    found = resolve(tokenized, spec.columns, vault, spec.key)
-    cells = found.select(
-        *[F.struct(text(c).alias("token"), F.col(c + VALUE_SUFFIX).alias("value")).alias(c) for c in spec.columns]
-    ).unpivot([], list(spec.columns), "column_name", "cell")
-    token, value = F.col("cell.token"), F.col("cell.value")
-    shown = {str(m): visible(m, token, value, on_unknown) for m in (*MODES, None)}
-    rendered = cells.select("column_name", "cell", *[e.alias(m) for m, e in shown.items()])
-
-    def kind(seen: Column) -> Column:
+    cells = long_cells(tokenized, spec.columns).groupBy("column_name", F.col("value").alias("token"))
+    cells = cells.agg(F.count(F.lit(1)).alias("n_cells"))
+    known = vault.groupBy("column_name", "token").agg(F.max("value").alias("value"))
+    found = cells.join(known, ["column_name", "token"], "left")
+    token, value = F.col("token"), F.col("value")
+    modes: list[str | None] = [*MODES, None]
+
+    def kind(mode: str | None) -> Column:
+        seen = F.col(f"seen_{mode}")
         return (
             F.when(~F.coalesce(readable(seen), F.lit(False)), "blank")
             .when(seen == value, "plain")
             .when(seen == token, "token")
             .when(seen == REDACTED_TEXT, "redacted")
-            .when(seen == mask(value), "masked")
+            .when(seen == F.col(f"seen_{MASKED}"), "masked")
         )
 
-    kinds = rendered.select("column_name", *[kind(F.col(m)).alias(m) for m in shown])
-    counted = kinds.groupBy("column_name").agg(
-        *[_count_if(F.col(m) == k).alias(f"{m}_{k}") for m in shown for k in KINDS]
+    seen = found.withColumns({f"seen_{m}": visible(m, token, value, on_unknown) for m in modes})
+    kinds = seen.select("column_name", "n_cells", *[kind(m).alias(f"kind_{m}") for m in modes])
+    # At most 5 kinds per mode, so this is a handful of rows per column.
+    sums = kinds.groupBy("column_name", *[f"kind_{m}" for m in modes]).agg(F.sum("n_cells").alias("n"))
+    counted = sums.groupBy("column_name").agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col(f"kind_{m}") == k, F.col("n"))), F.lit(0)).alias(f"{m}_{k}")
+            for m in modes
+            for k in KINDS
+        ]
     )
     roles: list[tuple[str, str | None]] = [*sorted(policy.roles.items()), (unlisted, None)]
     entries = F.array(

@@ -13,17 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.cells import READ_BLANKS
-from veilspark.functions.masking import REDACTED_TEXT, mask_sql, visible, visible_by
-from veilspark.operators.vault import VALUE_SUFFIX, Vault, resolve
+from veilspark.functions.masking import REDACTED_TEXT, checked_mode, mask_sql, visible, visible_by
+from veilspark.operators.vault import Vault, resolve
 from veilspark.spec import MASKED, MODES, PLAIN_TEXT, REDACTED, PiiSpec, Policy, check_mode
 
 ROLE_VARIABLE = "access_role"
 
 
-def _replace(df: DataFrame, like: DataFrame, cells: dict[str, Column]) -> DataFrame:
-    return df.select(*[cells[c].alias(c) if c in cells else F.col(c) for c in like.columns])
-
-
 def detokenize(
     df: DataFrame,
     spec: PiiSpec,
@@ -34,15 +30,25 @@ def detokenize(
 ) -> DataFrame:
     """Show `columns` (default: all protected ones) under `mode`, a name or a column of names."""
     columns = list(spec.columns if columns is None else columns)
-    fixed = isinstance(mode, str)
-    if fixed:
+    if isinstance(mode, str):
         check_mode(mode)
-    if fixed and mode == REDACTED and on_unknown == "redact":
-        return _replace(df, df, {c: visible(mode, F.col(c), F.lit(None), on_unknown) for c in columns})
-    found = resolve(df, columns, vault, spec.key)
-    show = visible if fixed else lambda m, t, v, u: visible_by(m, t, v, u)
-    cells = {c: show(mode, F.col(c), F.col(c + VALUE_SUFFIX), on_unknown) for c in columns}
-    return _replace(found, df, cells)
+        if mode == REDACTED and on_unknown == "redact":
+            return df.withColumns({c: visible(mode, F.col(c), F.lit(None), on_unknown) for c in columns})
+        shown = df
+    else:
+        asked = df.withColumn("__mode", checked_mode(mode))
+        shown = asked.select(
+            *df.columns,
+            (F.col("__mode") == PLAIN_TEXT).alias("__plain"),
+            (F.col("__mode") == MASKED).alias("__masked"),
+        )
+
+    def render(c: str, token: Column, value: Column) -> dict[str, Column]:
+        if isinstance(mode, str):
+            return {c: visible(mode, token, value, on_unknown)}
+        return {c: visible_by(F.col("__plain"), F.col("__masked"), token, value, on_unknown)}
+
+    return resolve(shown, columns, vault, spec.key, render).select(*df.columns)
 
 
 def govern(
@@ -78,14 +84,12 @@ def create_governed_view(
     folds to one branch, and vault joins that branch or the query does not read are dropped.
     """
     spark = df.sparkSession
-    found = resolve(df, spec.columns, vault, spec.key)
-    shown = {
-        f"{c}__{mode}": visible(mode, F.col(c), F.col(c + VALUE_SUFFIX), on_unknown)
-        for c in spec.columns
-        for mode in MODES
-    }
     hidden = f"{name}__resolved"
-    found.select(*df.columns, *[e.alias(n) for n, e in shown.items()]).createOrReplaceTempView(hidden)
+
+    def render(c: str, token: Column, value: Column) -> dict[str, Column]:
+        return {f"{c}__{mode}": visible(mode, token, value, on_unknown) for mode in MODES}
+
+    resolve(df, spec.columns, vault, spec.key, render, prunable=True).createOrReplaceTempView(hidden)
 
     def governed(c: str) -> str:
         if c not in spec.columns:

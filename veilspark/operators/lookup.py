@@ -8,8 +8,9 @@ Three physical forms, chosen from measured sizes:
 * rows that need no shuffled match (hot, NULL or blank cells) get a key that matches nothing and
   differs per row, so they spread over all partitions and never pile up in one.
 
-The looked-up side is grouped by its key. So a duplicate in the vault cannot multiply rows, and the
-optimizer knows the key is unique, which lets it drop the join when the result is not read.
+The looked-up side is grouped by its key, unless the caller has checked that keys are unique. So a
+duplicate in the vault cannot multiply rows, and the optimizer knows the key is unique, which lets it
+drop the join when the result is not read.
 """
 
 from __future__ import annotations
@@ -108,8 +109,13 @@ def lookup(
     value: str,
     size: Slice,
     spread_by: Sequence[str],
+    unique: bool = False,
 ) -> DataFrame:
-    """`df` plus `out`: the `value` of the `side` row whose `key` equals `column`, else NULL."""
+    """`df` plus `out`: the `value` of the `side` row whose `key` equals `column`, else NULL.
+
+    `unique` promises that no `key` occurs twice. A shuffled side is then joined as it is, which
+    saves its aggregation and leaves the join open to every adaptive rewrite.
+    """
     cell = F.col(column).cast("string")
     if size.broadcast:
         small = side.groupBy(F.col(key).alias("__key")).agg(F.max(value).alias(out))
@@ -124,8 +130,17 @@ def lookup(
         df = df.join(F.broadcast(hot), cell == F.col("__hot_key"), "left")
         no_match = no_match | F.col("__hot").isNotNull()
         result = F.coalesce(F.col("__hot"), result)
-    spread = F.concat(F.lit("-"), F.xxhash64(*spread_by).cast("string"))
-    df = df.withColumn("__probe", F.when(no_match, spread).otherwise(F.concat(F.lit("+"), cell)))
-    cold = side.groupBy(F.concat(F.lit("+"), F.col(key)).alias("__cold_key")).agg(F.max(value).alias("__cold"))
-    joined = df.join(cold, F.col("__probe") == F.col("__cold_key"), "left")
+    # Joined on (hash, key): hashes sort and compare as numbers, where tokens share long prefixes.
+    df = df.withColumns(
+        {
+            "__probe": F.when(no_match, F.xxhash64(*spread_by)).otherwise(F.xxhash64(cell)),
+            "__probe_key": F.when(~no_match, cell),
+        }
+    )
+    cold = side.select(F.xxhash64(key).alias("__hash"), F.col(key).alias("__key"), F.col(value).alias("__cold"))
+    if not unique:
+        # Shuffled as it is: few keys repeat, so a map-side aggregate would only sort for nothing.
+        cold = cold.repartition("__hash", "__key").groupBy("__hash", "__key").agg(F.max("__cold").alias("__cold"))
+    match = (F.col("__probe") == F.col("__hash")) & (F.col("__probe_key") == F.col("__key"))
+    joined = df.join(cold, match, "left")
     return joined.select(*columns, result.alias(out))

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.cells import needs_token, text, tokenizable
-from veilspark.functions.tokens import TokenKey, hmac_token, mock_token
+from veilspark.functions.tokens import TokenKey, mock_token, value_token
 from veilspark.spec import PiiSpec
 
 
 def cell_token(key: TokenKey, column: str) -> Column:
     """The token of a tokenizable cell, NULL for a null or blank one."""
     cell = text(column)
-    return F.when(tokenizable(cell), hmac_token(key, F.lit(column), cell))
+    return F.when(tokenizable(cell), value_token(key, column, cell))
 
 
 def merge_tokens(df: DataFrame, spec: PiiSpec, tokens: dict[str, Column]) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.cells import long_cells, tokenizable, tokenizable_cells
-from veilspark.functions.tokens import TokenKey, hmac_token
+from veilspark.functions.tokens import TokenKey, value_token
 from veilspark.operators.lookup import LookupLimits, Slice, lookup, measure
 from veilspark.spec import PiiSpec
 
@@ -24,7 +24,7 @@ def distinct_cells(df: DataFrame, spec: PiiSpec) -> DataFrame:
 
 def build_vault(df: DataFrame, spec: PiiSpec, key: TokenKey) -> DataFrame:
     """The vault of an untokenized table; one HMAC per distinct value, not per cell."""
-    token = hmac_token(key, F.col("column_name"), F.col("value"))
+    token = value_token(key, F.col("column_name"), F.col("value"))
     return distinct_cells(df, spec).select("column_name", token.alias("token"), "value", "n_cells")
 
 
@@ -32,7 +32,7 @@ def vault_additions(df: DataFrame, spec: PiiSpec, key: TokenKey, vault: DataFram
     """Vault rows for values the vault lacks. Both join sides hold a value once per column."""
     known = vault.select("column_name", "value")
     missing = distinct_cells(df, spec).join(known, ["column_name", "value"], "left_anti")
-    token = hmac_token(key, F.col("column_name"), F.col("value"))
+    token = value_token(key, F.col("column_name"), F.col("value"))
     return missing.select("column_name", token.alias("token"), "value", "n_cells")
 
 
@@ -61,15 +61,16 @@ def count_uses(vault: DataFrame, tokenized: DataFrame, spec: PiiSpec) -> DataFra
 
 @dataclass(frozen=True)
 class Vault:
-    """A stored vault and its measured slice sizes."""
+    """A stored vault and its measured slice sizes. `unique` says `vault_duplicates` found none."""
 
     frame: DataFrame
     slices: Mapping[str, Slice]
+    unique: bool = False
 
     @classmethod
-    def open(cls, frame: DataFrame, limits: LookupLimits = LookupLimits()) -> Vault:
+    def open(cls, frame: DataFrame, limits: LookupLimits = LookupLimits(), unique: bool = False) -> Vault:
         """`frame` should be a stored table: it is scanned here and again by every lookup."""
-        return cls(frame, measure(frame, limits))
+        return cls(frame, measure(frame, limits), unique)
 
     def slice(self, column: str) -> DataFrame:
         return self.frame.filter(F.col("column_name") == column)
@@ -78,17 +79,38 @@ class Vault:
         return self.slices.get(column, Slice())
 
 
-def resolve(df: DataFrame, columns: Sequence[str], vault: Vault, spread_by: Sequence[str]) -> DataFrame:
-    """`df` plus `<column>__value`, the vault value of each token, NULL if there is none."""
-    for c in columns:
-        df = lookup(df, c, c + VALUE_SUFFIX, vault.slice(c), "token", "value", vault.size(c), spread_by)
+def _shuffled_first(columns: Sequence[str], vault: Vault) -> list[str]:
+    """Columns that need a shuffle first, so that no value a broadcast can add later is shuffled."""
+    return sorted(columns, key=lambda c: vault.size(c).broadcast)
+
+
+def resolve(
+    df: DataFrame,
+    columns: Sequence[str],
+    vault: Vault,
+    spread_by: Sequence[str],
+    render: Callable[[str, Column, Column], dict[str, Column]] | None = None,
+    prunable: bool = False,
+) -> DataFrame:
+    """`df` plus `<column>__value`, the vault value of each token, NULL if there is none.
+
+    `render(column, token, value)` names what to keep instead. It is applied right after each
+    lookup, so the next shuffle carries only what the reader will see. `prunable` keeps the plan in
+    a form whose joins the optimizer drops when their values are not read.
+    """
+    unique = vault.unique and not prunable
+    for c in _shuffled_first(columns, vault):
+        found = c + VALUE_SUFFIX
+        df = lookup(df, c, found, vault.slice(c), "token", "value", vault.size(c), spread_by, unique)
+        if render:
+            df = df.withColumns(render(c, F.col(c), F.col(found))).drop(found)
     return df
 
 
 def find_tokens(df: DataFrame, columns: Sequence[str], vault: Vault, spread_by: Sequence[str]) -> DataFrame:
     """`df` plus `<column>_token`, the vault token of each value, NULL if there is none."""
-    for c in columns:
-        df = lookup(df, c, f"{c}_token", vault.slice(c), "value", "token", vault.size(c), spread_by)
+    for c in _shuffled_first(columns, vault):
+        df = lookup(df, c, f"{c}_token", vault.slice(c), "value", "token", vault.size(c), spread_by, vault.unique)
     return df
 
 

@@ -14,6 +14,9 @@ def build_session(app: str = "veilspark", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # HotSpot never compiles a method above 8000 bytes of bytecode. A projection over many
+        # protected columns is larger than that as one method; under this limit Spark splits it.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
