@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 from typing import Any, TypeVar
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import veilspark
 from veilspark.functions.replies import token_of_record
 from veilspark.functions.tokens import TokenKey, hmac_token
 from veilspark.operators.lookup import LookupLimits
@@ -19,6 +21,9 @@ from veilspark.sources.client import ClientFactory
 from veilspark.sources.store import RunStore
 from veilspark.spec import DEFAULT_BATCH_SIZE, PLAIN_TEXT, PiiSpec, check_mode
 
+# Task code travels with the job, so workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(veilspark)
+
 T = TypeVar("T")
 
 ATTEMPTS = 3

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +60,17 @@ def govern(
     return df if mode is None else detokenize(df, spec, vault, mode, on_unknown=on_unknown)
 
 
+def _declare_role(spark: SparkSession) -> None:
+    """A session starts without a role, which sees tokens. A role that is already set is kept."""
+    try:
+        spark.sql(f"SELECT {ROLE_VARIABLE}")
+    except AnalysisException:
+        spark.sql(f"DECLARE VARIABLE {ROLE_VARIABLE} STRING DEFAULT ''")
+
+
 def set_role(spark: SparkSession, role: str) -> None:
     """Switch the session's role; it applies to every governed read analyzed from here on."""
-    spark.sql(f"DECLARE OR REPLACE VARIABLE {ROLE_VARIABLE} STRING DEFAULT ''")
+    _declare_role(spark)
     spark.sql(f"SET VAR {ROLE_VARIABLE} = :role", args={"role": role})
 
 
@@ -84,6 +93,7 @@ def create_governed_view(
     folds to one branch, and vault joins that branch or the query does not read are dropped.
     """
     spark = df.sparkSession
+    _declare_role(spark)
     hidden = f"{name}__resolved"
 
     def render(c: str, token: Column, value: Column) -> dict[str, Column]:
@@ -115,6 +125,7 @@ def register_functions(spark: SparkSession, vault: Vault, policy: Policy, prefix
     No column is named, so all slices of the vault are searched; namespaced tokens do not collide.
     `user_context` is accepted and has no effect. An unknown mode fails the query.
     """
+    _declare_role(spark)
     source = f"{prefix}vault_lookup"
     vault.frame.select("token", "value").createOrReplaceTempView(source)
     blanks = "".join(f"\\u{ord(ch):04x}" for ch in READ_BLANKS)

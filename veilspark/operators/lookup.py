@@ -25,13 +25,17 @@ from veilspark.functions.cells import tokenizable
 
 # Java object and hash-table overhead per row, in bytes, on top of the strings themselves.
 ROW_OVERHEAD = 64
-# A larger share than the first makes a key hot; the others are tried if those rows are too wide.
-_SHARES = (0.001, 0.004, 0.016, 0.064, 0.256)
+# If the hot rows are too wide to broadcast, the threshold is raised by this factor, up to this share.
+_RAISE, _TOP_SHARE = 4, 0.3
 
 
 @dataclass(frozen=True)
 class LookupLimits:
-    """`broadcast_bytes` None means the session's spark.sql.autoBroadcastJoinThreshold."""
+    """`broadcast_bytes` None means the session's spark.sql.autoBroadcastJoinThreshold.
+
+    A key is hot if it holds at least `hot_cells` cells and more cells than an average shuffle
+    partition. So there are never more hot keys than shuffle partitions.
+    """
 
     broadcast_bytes: int | None = None
     hot_cells: int = 1_000_000
@@ -80,21 +84,25 @@ def measure(frame: DataFrame, limits: LookupLimits = LookupLimits()) -> Mapping[
     if not large:
         return found
 
+    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [min(1 / partitions, _TOP_SHARE)]
+    while shares[-1] * _RAISE <= _TOP_SHARE:
+        shares.append(shares[-1] * _RAISE)
+
     def floor(s: Slice, share: float) -> int:
         return max(limits.hot_cells, int(s.cells * share) + 1)
 
-    # Fewer than 1/share keys can each hold more than that share of the cells.
     checks = [
         F.sum(F.when((F.col("column_name") == c) & (F.col("n_cells") >= floor(s, share)), F.col("width"))).alias(
             f"{i}_{j}"
         )
         for i, (c, s) in enumerate(large.items())
-        for j, share in enumerate(_SHARES)
+        for j, share in enumerate(shares)
     ]
     hot_bytes = sized.agg(*checks).first().asDict()
     hot_limit = max(limit, 1 << 20)
     for i, (c, s) in enumerate(large.items()):
-        fits = [share for j, share in enumerate(_SHARES) if 0 < (hot_bytes[f"{i}_{j}"] or 0) <= hot_limit]
+        fits = [share for j, share in enumerate(shares) if 0 < (hot_bytes[f"{i}_{j}"] or 0) <= hot_limit]
         if fits:
             found[c] = Slice(s.rows, s.bytes, s.cells, False, floor(s, fits[0]))
     return found
