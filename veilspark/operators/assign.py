@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable, Iterator
 from typing import Any, TypeVar
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ T = TypeVar("T")
 ATTEMPTS = 3
 BACKOFF_SECONDS = 2.0
 
+# Rows per Arrow batch returned to the JVM; vault calls are much smaller.
+_OUT_ROWS = 10_000
+_OUT_SCHEMA = "column_name string, token string, value string, n_cells bigint"
+
 
 class VaultReplyError(RuntimeError):
     """The vault answered, but not with one usable record per request."""
@@ -56,21 +61,21 @@ def paired(records: list[dict[str, Any]], sent: int, column: str) -> list[dict[s
     return records[:sent]
 
 
-def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Consecutive slices of at most `size` rows of one column; input is sorted by column."""
-    rest: pd.DataFrame | None = None
-    for frame in frames:
-        for _, part in frame.groupby("column_name", sort=False):
-            if rest is not None and rest["column_name"].iat[0] != part["column_name"].iat[0]:
-                yield rest
-                rest = None
-            part = part if rest is None else pd.concat([rest, part])
-            whole = len(part) - len(part) % size
-            for start in range(0, whole, size):
-                yield part.iloc[start : start + size]
-            rest = part.iloc[whole:] if whole < len(part) else None
-    if rest is not None:
-        yield rest
+def _requests(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[tuple]]]:
+    """A column name and up to `size` of its rows; input is sorted by its first field, the column."""
+    rows = itertools.chain.from_iterable(
+        zip(*(field.to_pylist() for field in batch.columns), strict=True) for batch in batches
+    )
+    for column, run in itertools.groupby(rows, key=lambda row: row[0]):
+        while chunk := list(itertools.islice(run, size)):
+            yield column, chunk
+
+
+def _packed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    types = {"column_name": pa.string(), "token": pa.string(), "value": pa.string(), "n_cells": pa.int64()}
+    while chunk := list(itertools.islice(rows, _OUT_ROWS)):
+        fields = [pa.array(field, kind) for field, kind in zip(zip(*chunk, strict=True), types.values(), strict=True)]
+        yield pa.RecordBatch.from_arrays(fields, names=list(types))
 
 
 def assign_tokens(
@@ -88,26 +93,28 @@ def assign_tokens(
     using it twice.
     """
 
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vault = client()
-        for batch in _batches(frames, batch_size):
-            column = batch["column_name"].iat[0]
-            values, ids = batch["value"].tolist(), batch["request_id"].tolist()
-            records = paired(
-                with_retry(lambda: vault.insert(column, values, ids), backoff=backoff), len(values), column
-            )
-            tokens = [token_of_record(r, column) for r in records]
-            if not all(tokens):
-                raise VaultReplyError(f"{column}: {sum(t is None for t in tokens)} records without a token")
-            yield batch.assign(token=tokens)[["column_name", "token", "value", "n_cells"]]
+
+        def rows() -> Iterator[tuple]:
+            for column, chunk in _requests(batches, batch_size):
+                values, ids = [row[1] for row in chunk], [row[3] for row in chunk]
+                reply = with_retry(lambda: vault.insert(column, values, ids), backoff=backoff)
+                for row, record in zip(chunk, paired(reply, len(chunk), column), strict=True):
+                    token = token_of_record(record, column)
+                    if not token:
+                        raise VaultReplyError(f"{column}: a record came back without a token")
+                    yield column, token, row[1], row[2]
+
+        return _packed(rows())
 
     request = hmac_token(key, F.concat(F.lit("request|"), "column_name", F.lit("|"), "value"))
     sent = (
-        cells.withColumn("request_id", request)
+        cells.select("column_name", "value", "n_cells", request.alias("request_id"))
         .repartition(connections, "column_name", "value")
         .sortWithinPartitions("column_name")
     )
-    return sent.mapInPandas(send, "column_name string, token string, value string, n_cells bigint")
+    return sent.mapInArrow(send, _OUT_SCHEMA)
 
 
 def tokenize_via_vault(
@@ -153,18 +160,23 @@ def read_values(
     """
     check_mode(mode)
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vault = client()
-        for batch in _batches(frames, batch_size):
-            sent = batch["token"].tolist()
-            try:
-                records = with_retry(lambda: vault.detokenize(sent, mode), attempts, backoff)
-                values = [r.get("value") for r in paired(records, len(sent), "detokenize")]
-            except Exception:
-                values = [None] * len(sent)
-            out = batch.assign(value=values)[["column_name", "token", "value", "n_cells"]]
-            yield out[out["value"].notna()]
+
+        def rows() -> Iterator[tuple]:
+            for column, chunk in _requests(batches, batch_size):
+                sent = [row[1] for row in chunk]
+                try:
+                    reply = with_retry(lambda: vault.detokenize(sent, mode), attempts, backoff)
+                    records = paired(reply, len(chunk), "detokenize")
+                except Exception:
+                    continue
+                for row, record in zip(chunk, records, strict=True):
+                    if record.get("value") is not None:
+                        yield column, row[1], record["value"], row[2]
+
+        return _packed(rows())
 
     asked = tokens.select("column_name", "token", "n_cells")
     asked = asked.repartition(connections, "column_name", "token").sortWithinPartitions("column_name")
-    return asked.mapInPandas(ask, "column_name string, token string, value string, n_cells bigint")
+    return asked.mapInArrow(ask, _OUT_SCHEMA)

@@ -66,16 +66,27 @@ def _cell_counts(df: DataFrame, spec: PiiSpec) -> dict[str, int]:
     return df.agg(*counts).first().asDict()
 
 
-def check_coverage(df: DataFrame, spec: PiiSpec) -> None:
-    """Fail if a non-blank cell of a `with_tokens` table would be published in plain text."""
-    leaks = {r.column_name: r.n_plaintext for r in token_coverage(df, spec).collect() if r.n_plaintext}
+def check_coverage(df: DataFrame, spec: PiiSpec) -> dict[str, int]:
+    """Fail if a non-blank cell of a `with_tokens` table would be published in plain text.
+
+    Returns the counts `check_version` compares, so the source is scanned once for both.
+    """
+    counts: dict[str, int] = {}
+    leaks: dict[str, int] = {}
+    for r in token_coverage(df, spec).collect():
+        if r.n_plaintext:
+            leaks[r.column_name] = r.n_plaintext
+        counts["n_rows"] = r.n_tokenizable + r.n_blank + r.n_null
+        counts[f"{r.column_name}__filled"] = r.n_tokenizable
+        counts[f"{r.column_name}__present"] = r.n_tokenizable + r.n_blank
     if leaks:
         raise PublishError(f"cells left in plain text: {leaks}")
+    return counts
 
 
-def check_version(source: DataFrame, version: DataFrame, spec: PiiSpec) -> dict[str, int]:
+def check_version(before: dict[str, int], version: DataFrame, spec: PiiSpec) -> dict[str, int]:
     """Fail unless the written version has the source's rows, filled cells and nulls."""
-    before, after = _cell_counts(source, spec), _cell_counts(version, spec)
+    after = _cell_counts(version, spec)
     wrong = {k: (before[k], after[k]) for k in before if before[k] != after[k]}
     if wrong:
         raise PublishError(f"counts differ (source, version): {wrong}")
@@ -111,12 +122,12 @@ def tokenize_and_publish(
     version and raises; the view is moved last.
     """
     spark = source.sparkSession
-    check_coverage(with_tokens(source, spec, key), spec)
+    before = check_coverage(with_tokens(source, spec, key), spec)
     vault = publish_vault(source, spec, key, vault_table)
     version = write_version(tokenize(source, spec, key), table)
     try:
         written = spark.table(version)
-        counts = check_version(source, written, spec)
+        counts = check_version(before, written, spec)
         lost = unresolved(written, spec, vault)
         if not lost.isEmpty():
             raise PublishError(f"{version} holds tokens that {vault_table} cannot resolve")
