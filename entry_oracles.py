@@ -396,9 +396,8 @@ ORACLES: dict[str, str] = {
     "policy_other": SELECT_TOKENIZED,
     "policy_removed": SELECT_TOKENIZED,
     "policy_filter": FILTERED,
-    "mask_alias": f"""WITH {PROFILE} SELECT customer_id, {mask("email")} AS email_masked,
-      {mask("phone_number")} AS phone_masked, first_name AS first_name_plain,
-      CASE WHEN trim(last_name) <> '' THEN '*REDACTED*' ELSE last_name END AS last_name_redacted FROM profile""",
+    "mask_alias": f"""WITH {TOKENIZED} SELECT column_name, n_cells, value AS plain, {mask("value")} AS by_role,
+      {mask("value")} AS by_alias, '*REDACTED*' AS redacted FROM vault""",
     "session_context": f"""WITH {PROFILE} SELECT 'DEMO_MARKETING' AS role, true AS has_user, count(*) AS n_rows,
       count(*) FILTER (WHERE trim(email) <> '') AS n_hidden FROM profile""",
     "row_count_validation": """SELECT count(*) AS old_rows, count(*) AS new_rows, true AS matches FROM customer""",

@@ -15,7 +15,7 @@ from veilspark.streaming import protect
 @pytest.fixture
 def database(spark, store):
     name = f"db_{uuid.uuid4().hex[:8]}"
-    spark.sql(f"CREATE DATABASE {name} LOCATION '{store.path('db')}'")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{store.path(name)}'")
     return name
 
 
@@ -89,13 +89,24 @@ def test_a_version_is_never_overwritten(spark, plain, monkeypatch):
 
 
 def test_fingerprint_follows_the_files(spark, store):
-    store.write(spark.range(3), "a")
-    before = input_fingerprint(spark, store.path("a"))
-    assert before == input_fingerprint(spark, store.path("a"))
-    spark.range(4).write.mode("append").parquet(store.path("a"))
-    assert before != input_fingerprint(spark, store.path("a"))
-    with pytest.raises(Exception, match="exists"):
-        store.write(spark.range(3), "a")
+    path = store.path("a")
+    spark.range(3).write.parquet(path)
+    before = input_fingerprint(spark, path)
+    assert before == input_fingerprint(spark, path)
+    spark.range(4).write.mode("append").parquet(path)
+    assert before != input_fingerprint(spark, path)
+
+
+def test_run_store_writes_once_and_removes_its_files(spark):
+    from pathlib import Path
+
+    with RunStore(spark) as store:
+        assert store.write(spark.range(3), "a").count() == 3
+        with pytest.raises(Exception, match="exists"):
+            store.write(spark.range(3), "a")
+        folder = Path(store.root) / "a"
+        assert folder.exists()
+    assert not folder.exists() and not spark.catalog.databaseExists(store.database)
 
 
 def test_stream_equals_batch(spark, key, store):
@@ -103,8 +114,8 @@ def test_stream_equals_batch(spark, key, store):
 
     spec = PiiSpec(("user",), ("id",))
     events = spark.range(200).select("id", (F.col("id") % 9).cast("string").alias("user"))
-    stored = store.write(events.repartition(5), "events")
-    stream = protect.read_stream(spark, store.path("events"), stored.schema, files_per_trigger=2)
+    events.repartition(5).write.parquet(store.path("events"))
+    stream = protect.read_stream(spark, store.path("events"), events.schema, files_per_trigger=2)
     tokens = protect.drain(protect.tokenize_stream(stream, spec, key), store, "tokens")
     assert rows(tokens) == rows(tok.tokenize(events, spec, key))
     vault = Vault.open(store.write(build_vault(events, spec, key), "vault"))

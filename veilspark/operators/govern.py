@@ -2,7 +2,7 @@
 
 The DataFrame forms and the governed view use the skew-safe lookup and suit whole-table reads. The
 SQL functions take a single value, so they look a token up by a correlated subquery; they suit
-filtered, ad-hoc reads.
+distinct tokens and filtered, ad-hoc reads.
 """
 
 from __future__ import annotations

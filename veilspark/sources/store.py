@@ -6,6 +6,7 @@ A written table cuts lineage, is read with real file sizes, and outlives any exe
 from __future__ import annotations
 
 import uuid
+from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,21 +14,41 @@ from veilspark.session import shared_dir
 
 
 class RunStore:
-    """Tables of one run, under a folder no other run uses."""
+    """Tables of one run, in a database of their own whose files are in the shared folder.
 
-    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+    Staged tables may hold plain text. `drop` removes them with their files; a `with` block does so
+    on leaving, also after an error. Drop only when no DataFrame reads them any more.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        run = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
-        self.root = root or f"{shared_dir(spark)}/veilspark/{run}"
+        self.database = f"veilspark_run_{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/veilspark/{self.database}"
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{self.root}'")
+
+    def name(self, table: str) -> str:
+        return f"{self.database}.{table}"
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def path(self, folder: str) -> str:
+        """A folder next to the tables, for files that are not a catalog table."""
+        return f"{self.root}/files/{folder}"
 
-    def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    def write(self, df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Write `df` once (an existing table is an error) and return it as read back."""
-        path = self.path(name)
-        df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        writer = df.write.mode("errorifexists").format("parquet")
+        writer.partitionBy(*partition_by).saveAsTable(self.name(table))
+        return self.spark.table(self.name(table)).select(*df.columns)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+
+    def __enter__(self) -> RunStore:
+        return self
+
+    def __exit__(
+        self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None
+    ) -> None:
+        self.drop()
 
 
 def input_fingerprint(spark: SparkSession, *paths: str) -> tuple[int, ...]:
