@@ -17,7 +17,7 @@ from veilspark.functions.replies import token_of_record
 from veilspark.functions.tokens import TokenKey, hmac_token
 from veilspark.operators.lookup import LookupLimits
 from veilspark.operators.tokenize import merge_tokens
-from veilspark.operators.vault import Vault, distinct_cells, find_tokens
+from veilspark.operators.vault import Vault, distinct_cells, find_tokens, missing_cells
 from veilspark.sources.client import ClientFactory
 from veilspark.sources.store import RunStore
 from veilspark.spec import DEFAULT_BATCH_SIZE, PLAIN_TEXT, PiiSpec, check_mode
@@ -134,9 +134,7 @@ def tokenize_via_vault(
     Only distinct values that `known` lacks are sent. The replies are written before they are
     joined back, so no plan ever asks the vault twice.
     """
-    cells = distinct_cells(df, spec)
-    if known is not None:
-        cells = cells.join(known.select("column_name", "value"), ["column_name", "value"], "left_anti")
+    cells = distinct_cells(df, spec) if known is None else missing_cells(df, spec, known)
     fresh = store.write(assign_tokens(cells, key, client, batch_size, connections), name)
     vault = Vault.open(fresh if known is None else known.unionByName(fresh), limits)
     found = find_tokens(df, spec.columns, vault, spec.key)

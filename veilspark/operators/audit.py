@@ -7,9 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.functions.cells import long_cells, readable, text, tokenizable
+from veilspark.functions.cells import readable, text, tokenizable
 from veilspark.functions.masking import REDACTED_TEXT, visible
-from veilspark.operators.vault import unresolved
+from veilspark.operators.vault import known_tokens, unresolved
 from veilspark.spec import DEFAULT_BATCH_SIZE, MASKED, MODES, PiiSpec, Policy
 
 KINDS = ("plain", "masked", "redacted", "token", "blank")
@@ -97,10 +97,7 @@ def access_matrix(
     tokens with counts: a hot token is looked up and rendered once, by the rule the governed view
     uses. Roles are attached to the finished counts, one row per column.
     """
-    cells = long_cells(tokenized, spec.columns).groupBy("column_name", F.col("value").alias("token"))
-    cells = cells.agg(F.count(F.lit(1)).alias("n_cells"))
-    known = vault.groupBy("column_name", "token").agg(F.max("value").alias("value"))
-    found = cells.join(known, ["column_name", "token"], "left")
+    found = known_tokens(tokenized, spec, vault)
     token, value = F.col("token"), F.col("value")
     modes: list[str | None] = [*MODES, None]
 

@@ -16,24 +16,56 @@ from veilspark.spec import PiiSpec
 VALUE_SUFFIX = "__value"
 
 
+def _hash(item: str) -> Column:
+    """Leads the keys of joins on `(column_name, item)`: a number sorts fast, while column names are
+    few and tokens share a prefix."""
+    return F.xxhash64("column_name", item).alias("__hash")
+
+
+def _counted(cells: DataFrame, item: str) -> DataFrame:
+    """`(__hash, column_name, item, n_cells)`. Counts are combined map-side, so a hot value is one row
+    per task, and a join on these keys needs no further shuffle of this side."""
+    return cells.groupBy(_hash(item), "column_name", item).agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+def _missing(cells: DataFrame, vault: DataFrame, item: str) -> DataFrame:
+    """Distinct cells whose `item` the vault lacks. Both sides hold a key once."""
+    known = vault.select(_hash(item), "column_name", item)
+    return _counted(cells, item).join(known, ["__hash", "column_name", item], "left_anti").drop("__hash")
+
+
 def distinct_cells(df: DataFrame, spec: PiiSpec) -> DataFrame:
     """`(column_name, value, n_cells)`. Partial counts run map-side, so a hot value is one row per task."""
     cells = tokenizable_cells(df, spec)
     return cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+def missing_cells(df: DataFrame, spec: PiiSpec, vault: DataFrame) -> DataFrame:
+    """`distinct_cells` whose value the vault lacks."""
+    return _missing(tokenizable_cells(df, spec), vault, "value")
+
+
+def known_tokens(tokenized: DataFrame, spec: PiiSpec, vault: DataFrame) -> DataFrame:
+    """`(column_name, token, n_cells, value)` per distinct cell, blank ones included; `value` is NULL
+    where the vault has none."""
+    cells = _counted(long_cells(tokenized, spec.columns).withColumnRenamed("value", "token"), "token")
+    known = vault.groupBy(_hash("token"), "column_name", "token").agg(F.max("value").alias("value"))
+    return cells.join(known, ["__hash", "column_name", "token"], "left").drop("__hash")
+
+
 def build_vault(df: DataFrame, spec: PiiSpec, key: TokenKey) -> DataFrame:
     """The vault of an untokenized table; one HMAC per distinct value, not per cell."""
+    return _with_token(distinct_cells(df, spec), key)
+
+
+def _with_token(cells: DataFrame, key: TokenKey) -> DataFrame:
     token = value_token(key, F.col("column_name"), F.col("value"))
-    return distinct_cells(df, spec).select("column_name", token.alias("token"), "value", "n_cells")
+    return cells.select("column_name", token.alias("token"), "value", "n_cells")
 
 
 def vault_additions(df: DataFrame, spec: PiiSpec, key: TokenKey, vault: DataFrame) -> DataFrame:
-    """Vault rows for values the vault lacks. Both join sides hold a value once per column."""
-    known = vault.select("column_name", "value")
-    missing = distinct_cells(df, spec).join(known, ["column_name", "value"], "left_anti")
-    token = value_token(key, F.col("column_name"), F.col("value"))
-    return missing.select("column_name", token.alias("token"), "value", "n_cells")
+    """Vault rows for values the vault lacks."""
+    return _with_token(missing_cells(df, spec, vault), key)
 
 
 def refresh_vault(df: DataFrame, spec: PiiSpec, key: TokenKey, vault: DataFrame) -> DataFrame:
@@ -115,9 +147,9 @@ def find_tokens(df: DataFrame, columns: Sequence[str], vault: Vault, spread_by:
 
 
 def unresolved(tokenized: DataFrame, spec: PiiSpec, vault: DataFrame) -> DataFrame:
-    """`(column_name, token, n_cells)` of cells the vault does not know.
+    """`(column_name, token, n_cells)` of non-blank cells the vault does not know.
 
     Cells are reduced to distinct ones first, so a hot token is compared once.
     """
-    cells = distinct_cells(tokenized, spec).withColumnRenamed("value", "token")
-    return cells.join(vault.select("column_name", "token"), ["column_name", "token"], "left_anti")
+    cells = tokenizable_cells(tokenized, spec).withColumnRenamed("value", "token")
+    return _missing(cells, vault, "token")
