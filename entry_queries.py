@@ -65,7 +65,8 @@ def published(spark: SparkSession, sf_dir: str) -> Published:
     if wanted not in _published:
         store, source, key = RunStore(spark), profile(spark, sf_dir), demo_key(spark)
         store.write(tok.tokenize(source, PII, key), "customer_data")
-        stored = store.write(vaults.build_vault(source, PII, key), "vault", partition_by=("column_name",))
+        built = vaults.build_vault(source, PII, key)
+        stored = store.write(built, "vault", ("column_name",), vaults.VAULT_OPTIONS)
         unique = vaults.vault_duplicates(stored).isEmpty()
         _published[wanted] = store.database, dict(vaults.Vault.open(stored).slices), unique
     database, slices, unique = _published[wanted]
@@ -94,7 +95,8 @@ def customer_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = published(spark, sf_dir)
-    return govern.detokenize(insights.customer_overview(p.table), PII, p.vault, MASKED)
+    first = insights.customer_overview(p.table)
+    return govern.detokenize_few(first, insights.OVERVIEW_ROWS, RunStore(spark), PII, p.vault, MASKED)
 
 
 def table_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from veilspark.operators import tokenize as tok
-from veilspark.operators.govern import create_governed_view, detokenize, set_role
+from veilspark.operators.govern import create_governed_view, detokenize, detokenize_few, set_role
 from veilspark.operators.lookup import LookupLimits, _size, measure
 from veilspark.operators.vault import Vault, build_vault, find_tokens
 from veilspark.spec import PiiSpec, Policy
@@ -109,5 +109,17 @@ def test_view_joins_only_what_the_role_reads(spark, stored, limits):
     assert joins("SELECT * FROM seen") == 0
 
 
+def test_few_rows_are_read_without_a_shuffle_of_the_vault(skewed, stored, store, no_auto_broadcast):
+    table, frame = stored
+    vault = Vault.open(frame, ALL_SHUFFLED)
+    first = table.orderBy("id").limit(50)
+    few = detokenize_few(first, 50, store, SPEC, vault)
+    assert rows(few) == rows(skewed.filter("id < 50"))
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    many = detokenize_few(first, 10**6, store, SPEC, vault)
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert rows(many) == rows(few)
+
+
 def test_sizes():
     assert [_size(t) for t in ("10485760", "10485760b", "10m", "1g", "-1")] == [10485760, 10485760, 10 << 20, 1 << 30, -1]

@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 from veilspark.functions.cells import READ_BLANKS
 from veilspark.functions.masking import REDACTED_TEXT, checked_mode, mask_sql, visible, visible_by
 from veilspark.operators.vault import Vault, resolve
+from veilspark.sources.store import RunStore
 from veilspark.spec import MASKED, MODES, PLAIN_TEXT, REDACTED, PiiSpec, Policy, check_mode
 
 ROLE_VARIABLE = "access_role"
 
+# Up to here the tokens of a read are broadcast to the vault: at most a few MB.
+FEW_ROWS = 10_000
+
 
 def detokenize(
     df: DataFrame,
@@ -28,8 +32,12 @@ def detokenize(
     mode: str | Column = PLAIN_TEXT,
     columns: Sequence[str] | None = None,
     on_unknown: str = "token",
+    few: bool = False,
 ) -> DataFrame:
-    """Show `columns` (default: all protected ones) under `mode`, a name or a column of names."""
+    """Show `columns` (default: all protected ones) under `mode`, a name or a column of names.
+
+    `few` is set by `detokenize_few`, for a stored table of bounded size.
+    """
     columns = list(spec.columns if columns is None else columns)
     if isinstance(mode, str):
         check_mode(mode)
@@ -49,7 +57,28 @@ def detokenize(
             return {c: visible(mode, token, value, on_unknown)}
         return {c: visible_by(F.col("__plain"), F.col("__masked"), token, value, on_unknown)}
 
-    return resolve(shown, columns, vault, spec.key, render).select(*df.columns)
+    return resolve(shown, columns, vault, spec.key, render, few=few).select(*df.columns)
+
+
+def detokenize_few(
+    df: DataFrame,
+    n: int,
+    store: RunStore,
+    spec: PiiSpec,
+    vault: Vault,
+    mode: str | Column = PLAIN_TEXT,
+    on_unknown: str = "token",
+    name: str = "few",
+) -> DataFrame:
+    """The first `n` rows of `df` under `mode`, without a shuffle of the vault.
+
+    The rows are written first, still as tokens, so that finding them is not repeated per column.
+    More than FEW_ROWS rows are read the way a whole table is.
+    """
+    rows = df.limit(n)
+    if n > FEW_ROWS:
+        return detokenize(rows, spec, vault, mode, on_unknown=on_unknown)
+    return detokenize(store.write(rows, name), spec, vault, mode, on_unknown=on_unknown, few=True)
 
 
 def govern(

@@ -152,3 +152,13 @@ def lookup(
     match = (F.col("__probe") == F.col("__hash")) & (F.col("__probe_key") == F.col("__key"))
     joined = df.join(cold, match, "left")
     return joined.select(*columns, result.alias(out))
+
+
+def lookup_few(df: DataFrame, column: str, out: str, side: DataFrame, key: str, value: str) -> DataFrame:
+    """`lookup` for a stored table of few rows: its keys are broadcast to the scan of `side`, which is
+    filtered in place and never shuffled."""
+    cell = F.col(column).cast("string")
+    wanted = F.broadcast(df.select(cell.alias("__wanted")).distinct())
+    found = side.join(wanted, F.col(key) == F.col("__wanted"), "left_semi")
+    found = found.groupBy(F.col(key).alias("__key")).agg(F.max(value).alias(out))
+    return df.join(F.broadcast(found), cell == F.col("__key"), "left").drop("__key")

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.cells import long_cells, tokenizable, tokenizable_cells
 from veilspark.functions.tokens import TokenKey, value_token
-from veilspark.operators.lookup import LookupLimits, Slice, lookup, measure
+from veilspark.operators.lookup import LookupLimits, Slice, lookup, lookup_few, measure
 from veilspark.spec import PiiSpec
 
 VALUE_SUFFIX = "__value"
 
+# Write options of a stored vault: a filter on single tokens skips row groups without them.
+VAULT_OPTIONS = {
+    "parquet.bloom.filter.enabled#token": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
+
 
 def _hash(item: str) -> Column:
     """Leads the keys of joins on `(column_name, item)`: a number sorts fast, while column names are
@@ -123,17 +129,23 @@ def resolve(
     spread_by: Sequence[str],
     render: Callable[[str, Column, Column], dict[str, Column]] | None = None,
     prunable: bool = False,
+    few: bool = False,
 ) -> DataFrame:
     """`df` plus `<column>__value`, the vault value of each token, NULL if there is none.
 
     `render(column, token, value)` names what to keep instead. It is applied right after each
     lookup, so the next shuffle carries only what the reader will see. `prunable` keeps the plan in
-    a form whose joins the optimizer drops when their values are not read.
+    a form whose joins the optimizer drops when their values are not read. `few` says that `df` is a
+    stored table small enough to broadcast.
     """
     unique = vault.unique and not prunable
     for c in _shuffled_first(columns, vault):
         found = c + VALUE_SUFFIX
-        df = lookup(df, c, found, vault.slice(c), "token", "value", vault.size(c), spread_by, unique)
+        side, size = vault.slice(c), vault.size(c)
+        if few and not size.broadcast:
+            df = lookup_few(df, c, found, side, "token", "value")
+        else:
+            df = lookup(df, c, found, side, "token", "value", size, spread_by, unique)
         if render:
             df = df.withColumns(render(c, F.col(c), F.col(found))).drop(found)
     return df

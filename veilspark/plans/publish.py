@@ -12,7 +12,7 @@ from veilspark.functions.cells import text, tokenizable
 from veilspark.functions.tokens import TokenKey
 from veilspark.operators.audit import token_coverage
 from veilspark.operators.tokenize import tokenize, with_tokens
-from veilspark.operators.vault import build_vault, unresolved, vault_additions, vault_duplicates
+from veilspark.operators.vault import VAULT_OPTIONS, build_vault, unresolved, vault_additions, vault_duplicates
 from veilspark.spec import DEFAULT_BATCH_SIZE, PiiSpec
 
 
@@ -100,7 +100,8 @@ def publish_vault(source: DataFrame, spec: PiiSpec, key: TokenKey, table: str) -
         rows = vault_additions(source, spec, key, spark.table(table))
     else:
         rows = build_vault(source, spec, key)
-    rows.write.mode("append").format("parquet").partitionBy("column_name").saveAsTable(table)
+    writer = rows.write.mode("append").format("parquet").options(**VAULT_OPTIONS)
+    writer.partitionBy("column_name").saveAsTable(table)
     vault = spark.table(table).select("column_name", "token", "value", "n_cells")
     if not vault_duplicates(vault).isEmpty():
         raise PublishError(f"{table} holds a token or value twice")

@@ -6,6 +6,7 @@ A written table cuts lineage, is read with real file sizes, and outlives any exe
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,15 @@ class RunStore:
         """A folder next to the tables, for files that are not a catalog table."""
         return f"{self.root}/files/{folder}"
 
-    def write(self, df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    def write(
+        self,
+        df: DataFrame,
+        table: str,
+        partition_by: tuple[str, ...] = (),
+        options: Mapping[str, str] | None = None,
+    ) -> DataFrame:
         """Write `df` once (an existing table is an error) and return it as read back."""
-        writer = df.write.mode("errorifexists").format("parquet")
+        writer = df.write.mode("errorifexists").format("parquet").options(**(options or {}))
         writer.partitionBy(*partition_by).saveAsTable(self.name(table))
         return self.spark.table(self.name(table)).select(*df.columns)
 
