@@ -65,10 +65,8 @@ def test_failed_check_leaves_the_view(spark, key, plain, monkeypatch, fault):
     before = rows(spark.table(table))
     real = tok.tokenize
     if fault == "leak":
-        real_with = tok.with_tokens
-        monkeypatch.setattr(
-            publish, "with_tokens", lambda df, s, k: real_with(df, s, k).withColumn("email_token", F.col("email"))
-        )
+        leak = F.when(F.col("customer_id") == "CUST00007", F.lit("michael.johnson@example.com")).otherwise(F.col("email"))
+        monkeypatch.setattr(publish, "tokenize", lambda df, s, k: real(df, s, k).withColumn("email", leak))
     elif fault == "lost rows":
         monkeypatch.setattr(publish, "tokenize", lambda df, s, k: real(df, s, k).limit(49))
     elif fault == "lost cells":

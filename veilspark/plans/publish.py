@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.cells import text, tokenizable
 from veilspark.functions.tokens import TokenKey
-from veilspark.operators.audit import token_coverage
-from veilspark.operators.tokenize import tokenize, with_tokens
+from veilspark.operators.tokenize import tokenize
 from veilspark.operators.vault import VAULT_OPTIONS, build_vault, unresolved, vault_additions, vault_duplicates
 from veilspark.spec import DEFAULT_BATCH_SIZE, PiiSpec
 
@@ -66,33 +65,26 @@ def _cell_counts(df: DataFrame, spec: PiiSpec) -> dict[str, int]:
     return df.agg(*counts).first().asDict()
 
 
-def check_coverage(df: DataFrame, spec: PiiSpec) -> dict[str, int]:
-    """Fail if a non-blank cell of a `with_tokens` table would be published in plain text.
-
-    Returns the counts `check_version` compares, so the source is scanned once for both.
-    """
-    counts: dict[str, int] = {}
-    leaks: dict[str, int] = {}
-    for r in token_coverage(df, spec).collect():
-        if r.n_plaintext:
-            leaks[r.column_name] = r.n_plaintext
-        counts["n_rows"] = r.n_tokenizable + r.n_blank + r.n_null
-        counts[f"{r.column_name}__filled"] = r.n_tokenizable
-        counts[f"{r.column_name}__present"] = r.n_tokenizable + r.n_blank
-    if leaks:
-        raise PublishError(f"cells left in plain text: {leaks}")
-    return counts
-
-
-def check_version(before: dict[str, int], version: DataFrame, spec: PiiSpec) -> dict[str, int]:
+def check_version(source: DataFrame, version: DataFrame, spec: PiiSpec) -> dict[str, int]:
     """Fail unless the written version has the source's rows, filled cells and nulls."""
-    after = _cell_counts(version, spec)
+    before, after = _cell_counts(source, spec), _cell_counts(version, spec)
     wrong = {k: (before[k], after[k]) for k in before if before[k] != after[k]}
     if wrong:
         raise PublishError(f"counts differ (source, version): {wrong}")
     return after
 
 
+def check_resolvable(version: DataFrame, spec: PiiSpec, vault: DataFrame) -> None:
+    """Fail if a non-blank protected cell is not a token of the vault.
+
+    That covers a cell left in plain text as well as a token nobody could read back.
+    """
+    lost = unresolved(version, spec, vault).groupBy("column_name").agg(F.sum("n_cells").alias("n"))
+    counts = {r.column_name: r.n for r in lost.collect()}
+    if counts:
+        raise PublishError(f"cells that are no token of the vault: {counts}")
+
+
 def publish_vault(source: DataFrame, spec: PiiSpec, key: TokenKey, table: str) -> DataFrame:
     """Append the values `table` lacks. Run again after a failure, it appends only what is missing."""
     spark = source.sparkSession
@@ -123,15 +115,12 @@ def tokenize_and_publish(
     version and raises; the view is moved last.
     """
     spark = source.sparkSession
-    before = check_coverage(with_tokens(source, spec, key), spec)
     vault = publish_vault(source, spec, key, vault_table)
     version = write_version(tokenize(source, spec, key), table)
     try:
         written = spark.table(version)
-        counts = check_version(before, written, spec)
-        lost = unresolved(written, spec, vault)
-        if not lost.isEmpty():
-            raise PublishError(f"{version} holds tokens that {vault_table} cannot resolve")
+        counts = check_version(source, written, spec)
+        check_resolvable(written, spec, vault)
     except Exception:
         drop_version(spark, version)
         raise
