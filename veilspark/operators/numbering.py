@@ -41,6 +41,11 @@ def _offsets(counts: DataFrame, order: str, columns: Sequence[str]) -> DataFrame
     )
 
 
+def _position() -> Column:
+    """The row's place in its partition, from 0."""
+    return F.col("__pos").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], store: RunStore, name: str = "numbered", rn: str = "rn"
 ) -> DataFrame:
@@ -49,16 +54,11 @@ def number_rows(
     The offsets have one row per sorted partition (at most spark.sql.shuffle.partitions), which is
     what bounds the broadcast and the one unpartitioned window.
     """
-    return _numbered(sorted_positions(df, keys, store, name), rn).drop("__pos")
-
-
-def _numbered(placed: DataFrame, rn: str) -> DataFrame:
+    placed = sorted_positions(df, keys, store, name)
     counts = placed.groupBy(_part("__pos").alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _offsets(counts, "__part", ["__n"]).withColumnRenamed("__part", "__opart")
-    position = F.col("__pos").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    joined = placed.join(F.broadcast(offsets), _part("__pos") == F.col("__opart"))
-    number = (F.col("__n__before") + position + 1).cast("bigint")
-    return joined.select(number.alias(rn), *placed.columns)
+    offsets = F.broadcast(_offsets(counts, "__part", ["__n"]))
+    joined = placed.join(offsets, _part("__pos") == F.col("__part"))
+    return joined.select((F.col("__n__before") + _position() + 1).cast("bigint").alias(rn), *df.columns)
 
 
 def batch_plan(
@@ -71,6 +71,7 @@ def batch_plan(
 ) -> DataFrame:
     """`(column_name, rn, value, batch_no)`: consecutive slices of the non-blank cells of a column.
 
+    `keys` should identify a row, so that `rn` is the number `number_rows` gives it.
     Per column, a cell's sequence number is the count in earlier partitions, plus that in earlier
     chunks of its partition, plus the running count in its chunk. A chunk has at most 2^20 rows, so
     no window group grows with the table or with a hot value.
@@ -80,31 +81,28 @@ def batch_plan(
     columns = list(spec.columns)
     flags = [f"__f{i}" for i in range(len(columns))]
     placed = sorted_positions(df.select(*keys, *[c for c in columns if c not in keys]), keys, store, name)
-    marked = (
-        _numbered(placed, "rn")
-        .select(
-            "rn",
-            "__pos",
-            F.shiftright("__pos", _CHUNK_BITS).alias("__chunk"),
-            *[text(c).alias(c) for c in columns],
-        )
-        .withColumns(
-            {f: F.coalesce(tokenizable(F.col(c)), F.lit(False)).cast("bigint") for f, c in zip(flags, columns)}
-        )
+    filled = {f: F.coalesce(tokenizable(text(c)), F.lit(False)).cast("bigint") for f, c in zip(flags, columns)}
+    marked = placed.select(
+        "__pos",
+        F.shiftright("__pos", _CHUNK_BITS).alias("__chunk"),
+        *[text(c).alias(c) for c in columns],
+        *[flag.alias(f) for f, flag in filled.items()],
     )
     in_chunk = Window.partitionBy("__chunk").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
     running = marked.withColumns({f"{f}__run": F.sum(f).over(in_chunk) for f in flags})
 
-    per_chunk = marked.groupBy("__chunk").agg(*[F.sum(f).alias(f) for f in flags])
+    # One row per chunk, read twice below: per partition, and along the chunks of a partition.
+    per_chunk = marked.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f).alias(f) for f in flags])
     per_chunk = per_chunk.withColumn("__part", F.shiftright("__chunk", _POSITION_BITS - _CHUNK_BITS))
-    per_part = per_chunk.groupBy("__part").agg(*[F.sum(f).alias(f) for f in flags])
-    part_before = _offsets(per_part, "__part", flags)
+    per_chunk = store.write(per_chunk, f"{name}__chunks")
+    per_part = per_chunk.groupBy("__part").agg(*[F.sum(c).alias(c) for c in ("__n", *flags)])
+    part_before = F.broadcast(_offsets(per_part, "__part", ["__n", *flags]))
     in_part = Window.partitionBy("__part").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunk_before = per_chunk.withColumns(
-        {f"{f}__chunk": F.coalesce(F.sum(f).over(in_part), F.lit(0)) for f in flags}
-    ).join(F.broadcast(part_before), "__part")
-    offsets = chunk_before.select(
-        F.col("__chunk"), *[(F.col(f"{f}__chunk") + F.col(f"{f}__before")).alias(f"{f}__off") for f in flags]
+    chunk_before = per_chunk.withColumns({f"{f}__chunk": F.coalesce(F.sum(f).over(in_part), F.lit(0)) for f in flags})
+    offsets = chunk_before.join(part_before, "__part").select(
+        "__chunk",
+        "__n__before",
+        *[(F.col(f"{f}__chunk") + F.col(f"{f}__before")).alias(f"{f}__off") for f in flags],
     )
 
     cells = [
@@ -115,6 +113,7 @@ def batch_plan(
         ).alias(c)
         for f, c in zip(flags, columns)
     ]
-    wide = running.join(offsets, "__chunk").select("rn", *cells)
+    rn = (F.col("__n__before") + _position() + 1).cast("bigint")
+    wide = running.join(offsets, "__chunk").select(rn.alias("rn"), *cells)
     long = wide.unpivot(["rn"], columns, "column_name", "cell")
     return long.filter(F.col("cell.take") == 1).select("column_name", "rn", "cell.value", "cell.batch_no")
