@@ -126,14 +126,14 @@ def read(mode: str) -> str:
     return f"WITH {TOKENIZED} SELECT t.customer_id, {cells}, {TAIL} {vault_joins('tokenized')}"
 
 
-def read_by(mode: str, source: str) -> str:
+def read_by(mode: str, source: str) -> tuple[str, str]:
     def one(c: str) -> str:
         whens = " ".join(
             f"WHEN '{m}' THEN {shown(m, f't.{c}', f'v_{c}.value')}" for m in ("PLAIN_TEXT", "MASKED", "REDACTED")
         )
         return f"CASE {mode} {whens} END AS {c}"
 
-    return f"{', '.join(one(c) for c in COLUMNS)}", vault_joins(source)
+    return ", ".join(one(c) for c in COLUMNS), vault_joins(source)
 
 
 def mock(column: str, seed: int = 0) -> str:

@@ -1,11 +1,16 @@
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from veilspark.operators import tokenize as tok
+from veilspark.operators.govern import detokenize
+from veilspark.operators.lookup import LookupLimits, Slice
+from veilspark.operators.vault import Vault, build_vault, save_slices
 from veilspark.plans import publish
+from veilspark.session import shared_dir
 from veilspark.sources.customers import CUSTOMER_PII, generate_customers
 from veilspark.sources.store import RunStore, input_fingerprint
 from veilspark.spec import PiiSpec
@@ -35,6 +40,9 @@ def test_publish_moves_the_view_and_reports(spark, key, plain):
     assert str(report) == "300 tokens in 12 batches (50 total rows)"
     assert rows(spark.table(table)) == rows(tok.tokenize(source, CUSTOMER_PII, key))
     assert spark.table(vault).count() == 42
+    stored = Vault.stored(spark, vault)
+    assert stored.slices == Vault.open(spark.table(vault)).slices and stored.unique
+    assert rows(detokenize(spark.table(table), CUSTOMER_PII, stored)) == rows(source)
     publish.drop_version(spark, version)
     assert publish.versions(spark, table) == [report.version]
     values = {v for r in source.select(*CUSTOMER_PII.columns).collect() for v in r}
@@ -50,6 +58,7 @@ def test_second_run_adds_only_new_vault_rows(spark, key, plain):
     publish.tokenize_and_publish(more, CUSTOMER_PII, key, table, vault)
     assert spark.table(table).count() == 51
     assert spark.table(vault).count() == 43
+    assert Vault.stored(spark, vault).size("email").rows == 5
 
 
 def test_empty_table_is_published(spark, key, plain):
@@ -107,19 +116,39 @@ def test_run_store_writes_once_and_removes_its_files(spark):
     assert not folder.exists() and not spark.catalog.databaseExists(store.database)
 
 
-def test_stream_equals_batch(spark, key, store):
-    from veilspark.operators.vault import Vault, build_vault
-
+@pytest.mark.parametrize("limits", [LookupLimits(), LookupLimits(broadcast_bytes=0, hot_cells=10)])
+def test_stream_equals_batch(spark, key, store, limits):
     spec = PiiSpec(("user",), ("id",))
     events = spark.range(200).select("id", (F.col("id") % 9).cast("string").alias("user"))
     events.repartition(5).write.parquet(store.path("events"))
     stream = protect.read_stream(spark, store.path("events"), events.schema, files_per_trigger=2)
     tokens = protect.drain(protect.tokenize_stream(stream, spec, key), store, "tokens")
     assert rows(tokens) == rows(tok.tokenize(events, spec, key))
-    vault = Vault.open(store.write(build_vault(events, spec, key), "vault"))
+    vault = Vault.open(store.write(build_vault(events, spec, key), "vault"), limits)
     back = protect.read_stream(spark, store.path("tokens"), tokens.schema)
     assert rows(protect.drain(protect.detokenize_stream(back, spec, vault), store, "back")) == rows(events)
 
 
 def test_run_stores_do_not_collide(spark):
     assert RunStore(spark).root != RunStore(spark).root
+
+
+def test_sizes_are_kept_with_the_table(spark, store):
+    store.write(spark.range(1), "vault")
+    with pytest.raises(ValueError, match="Vault.open"):
+        Vault.stored(spark, store.name("vault"))
+    slices = {"it's \\ \"odd\"": Slice(1, 2, 3, False, 4)}
+    save_slices(spark, store.name("vault"), slices)
+    assert Vault.stored(spark, store.name("vault")).slices == slices
+
+
+def test_shared_folder():
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, applicationId=f"app-{uuid.uuid4()}")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=context)
+
+    assert shared_dir(session("spark://host", "hdfs:///shared/")) == "hdfs:///shared"
+    local = session("local[2]")
+    assert shared_dir(local) == shared_dir(local) != shared_dir(session("local[2]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host"))

@@ -28,7 +28,8 @@ class TokenKey:
     """
 
     def __init__(self, frame: DataFrame) -> None:
-        self._frame = frame
+        self.inner: Column = frame.select("ipad").scalar()
+        self.outer: Column = frame.select("opad").scalar()
 
     @classmethod
     def from_secret(cls, spark: SparkSession, secret: bytes) -> TokenKey:
@@ -38,17 +39,11 @@ class TokenKey:
         row = (bytearray(ipad), bytearray(opad))
         return cls(spark.createDataFrame([row], "ipad binary, opad binary"))
 
-    def inner(self) -> Column:
-        return self._frame.select("ipad").scalar()
-
-    def outer(self) -> Column:
-        return self._frame.select("opad").scalar()
-
 
 def hmac_token(key: TokenKey, message: Column) -> Column:
     """`tok_` and the hex HMAC-SHA256 of `message`; NULL for NULL."""
-    inner = F.unhex(F.sha2(F.concat(key.inner(), message.cast("binary")), 256))
-    return F.concat(F.lit(TOKEN_PREFIX), F.sha2(F.concat(key.outer(), inner), 256))
+    inner = F.unhex(F.sha2(F.concat(key.inner, message.cast("binary")), 256))
+    return F.concat(F.lit(TOKEN_PREFIX), F.sha2(F.concat(key.outer, inner), 256))
 
 
 def value_token(key: TokenKey, column: str | Column, value: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.cells import long_cells, tokenizable, tokenizable_cells
@@ -14,6 +15,7 @@ from veilspark.operators.lookup import LookupLimits, Slice, lookup, lookup_few,
 from veilspark.spec import PiiSpec
 
 VALUE_SUFFIX = "__value"
+SLICES_PROPERTY = "veilspark.slices"
 
 # Write options of a stored vault: a filter on single tokens skips row groups without them.
 VAULT_OPTIONS = {
@@ -107,9 +109,21 @@ class Vault:
 
     @classmethod
     def open(cls, frame: DataFrame, limits: LookupLimits = LookupLimits(), unique: bool = False) -> Vault:
-        """`frame` should be a stored table: it is scanned here and again by every lookup."""
+        """`frame` should be a stored table: it is scanned here and again by every lookup.
+
+        Open it anew after it has grown, as the sizes decide what is broadcast.
+        """
         return cls(frame, measure(frame, limits), unique)
 
+    @classmethod
+    def stored(cls, spark: SparkSession, table: str) -> Vault:
+        """A vault table that `save_slices` was called for, without a scan."""
+        found = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+        if SLICES_PROPERTY not in found:
+            raise ValueError(f"{table} was not published as a vault; use Vault.open")
+        slices = {c: Slice(**sizes) for c, sizes in json.loads(found[SLICES_PROPERTY]).items()}
+        return cls(spark.table(table), slices, unique=True)
+
     def slice(self, column: str) -> DataFrame:
         return self.frame.filter(F.col("column_name") == column)
 
@@ -117,6 +131,12 @@ class Vault:
         return self.slices.get(column, Slice())
 
 
+def save_slices(spark: SparkSession, table: str, slices: Mapping[str, Slice]) -> None:
+    """Keep the sizes of a checked vault table with it. To be repeated whenever the table has grown."""
+    text = json.dumps({c: asdict(s) for c, s in slices.items()}).replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{SLICES_PROPERTY}' = '{text}')")
+
+
 def _shuffled_first(columns: Sequence[str], vault: Vault) -> list[str]:
     """Columns that need a shuffle first, so that no value a broadcast can add later is shuffled."""
     return sorted(columns, key=lambda c: vault.size(c).broadcast)

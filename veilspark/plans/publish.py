@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.cells import text, tokenizable
 from veilspark.functions.tokens import TokenKey
+from veilspark.operators.lookup import measure
 from veilspark.operators.tokenize import tokenize
-from veilspark.operators.vault import VAULT_OPTIONS, build_vault, unresolved, vault_additions, vault_duplicates
+from veilspark.operators.vault import (
+    VAULT_OPTIONS,
+    build_vault,
+    save_slices,
+    unresolved,
+    vault_additions,
+    vault_duplicates,
+)
 from veilspark.spec import DEFAULT_BATCH_SIZE, PiiSpec
 
 
@@ -86,7 +94,10 @@ def check_resolvable(version: DataFrame, spec: PiiSpec, vault: DataFrame) -> Non
 
 
 def publish_vault(source: DataFrame, spec: PiiSpec, key: TokenKey, table: str) -> DataFrame:
-    """Append the values `table` lacks. Run again after a failure, it appends only what is missing."""
+    """Append the values `table` lacks, check it, and keep its measured sizes with it.
+
+    Run again after a failure, it appends only what is missing.
+    """
     spark = source.sparkSession
     if spark.catalog.tableExists(table):
         rows = vault_additions(source, spec, key, spark.table(table))
@@ -97,6 +108,7 @@ def publish_vault(source: DataFrame, spec: PiiSpec, key: TokenKey, table: str) -
     vault = spark.table(table).select("column_name", "token", "value", "n_cells")
     if not vault_duplicates(vault).isEmpty():
         raise PublishError(f"{table} holds a token or value twice")
+    save_slices(spark, table, measure(vault))
     return vault
 
 
