@@ -109,6 +109,36 @@ def test_view_joins_only_what_the_role_reads(spark, stored, limits):
     assert joins("SELECT * FROM seen") == 0
 
 
+@pytest.mark.parametrize("unique", [False, True])
+@pytest.mark.parametrize("limits", [LookupLimits(), ALL_SHUFFLED])
+def test_unknown_tokens_stay_also_if_a_third_of_the_rows_has_one(skewed, stored, no_auto_broadcast, limits, unique):
+    table, frame = stored
+    lost = F.col("id") % 3 == 2
+    broken = table.withColumn("name", F.when(lost, "lost").otherwise(F.col("name")))
+    wanted = skewed.withColumn("name", F.when(lost, "lost").otherwise(F.col("name")))
+    assert rows(detokenize(broken, SPEC, Vault.open(frame, limits, unique))) == rows(wanted)
+
+
+def test_adaptive_skew_join_splits_a_hot_unknown_token(spark, stored, no_auto_broadcast):
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        table, frame = stored
+        broken = table.repartition(8, "id").withColumn("name", F.when(F.col("id") % 3 < 2, "lost").otherwise(F.col("name")))
+        back = detokenize(broken, SPEC, Vault.open(frame, ALL_SHUFFLED, unique=True), columns=["name"])
+        assert back.filter("name = 'lost'").count() == 4000
+        back.collect()
+        assert "skew=true" in back._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+
+
 def test_few_rows_are_read_without_a_shuffle_of_the_vault(skewed, stored, store, no_auto_broadcast):
     table, frame = stored
     vault = Vault.open(frame, ALL_SHUFFLED)
