@@ -2,7 +2,7 @@
 
 A text's terms are its distinct words within a band of document frequency: at least `RARE` and at most
 `FREQUENT` of all documents. Each of `LEXICONS` randomised lexicon subsets keeps a hashed share of all terms, from a
-quarter down to a 256th; the sorted terms of a text that are in a subset are hashed to four hex
+quarter down to a 1024th; the sorted terms of a text that are in a subset are hashed to four hex
 digits, and the fingerprint is these digits in order, `----` where the subset holds none of the
 terms. A text with words but no term of the band has the digits of its folded text in every place. The
 likeness of two fingerprints is the share of equal digits among the subsets that hold a term of
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import staged
 
 RARE, FREQUENT = 0.002, 0.2
-#: Shares of the lexicon subsets, as one term in two to the power of so many, and subsets of each.
-SHARE_BITS, EACH = (2, 4, 6, 8), 16
-LEXICONS = len(SHARE_BITS) * EACH
+#: For each subset, its share of the lexicon as one term in two to the power of so many.
+SHARE_BITS = (2,) * 2 + (4,) * 10 + (6,) * 16 + (8,) * 20 + (10,) * 16
+LEXICONS = len(SHARE_BITS)
 NONE = "----"
 MAX_BROADCAST_TERMS = 1_000_000
 RANGE_ROWS, MAX_RANGES = 10_000, 10_000
@@ -48,8 +48,7 @@ def fold(text: Column) -> Column:
 def _mask(term: Column) -> Column:
     """A long whose bit k says whether subset k holds the term: each subset reads bits of its own."""
     held, used, place = [], 0, 64
-    for k in range(LEXICONS):
-        bits = SHARE_BITS[k // EACH]
+    for k, bits in enumerate(SHARE_BITS):
         if place + bits > 64:
             used, place = used + 1, 0
         hashed = F.shiftrightunsigned(F.xxhash64(term, F.lit(used)), place).bitwiseAND(F.lit((1 << bits) - 1))

@@ -4,7 +4,8 @@ A notice matches a block when the block holds at least `threshold` of the notice
 are ordered by how many documents hold them, rarest first. Of a notice with m words, of which o must be
 shared, a matching block holds one of the m - o + 1 rarest (prefix filter), has at least o distinct words
 (length filter), and the words of the notice from the first shared one on must still suffice
-(positional filter). What passes is counted exactly.
+(positional filter). What passes is counted exactly. Notices share their common words, so a match gives its
+label only if no better match in the block shares all its words and more.
 
 A block is a line. A line of more than two spans (a span: 64 words, at least twice the longest notice)
 is cut into blocks of two spans that overlap by one, so a notice within a span's length is never cut.
@@ -77,8 +78,8 @@ class NoticeIndex:
             for position, word in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(word, []).append((k, position))
 
-    def matches(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of every notice that `block` contains far enough."""
+    def matches(self, block: set[bytes]) -> Iterator[tuple[str, float, frozenset[bytes]]]:
+        """(label, containment, shared words) of every notice that `block` contains far enough."""
         first: dict[int, int] = {}
         for word in self.prefix.keys() & block:
             for k, position in self.prefix[word]:
@@ -87,9 +88,14 @@ class NoticeIndex:
             label, words, need = self.notices[k]
             if len(block) < need or len(words) - position < need:
                 continue
-            shared = sum(word in block for word in words[position:])  # none before the first shared word
-            if shared >= need:
-                yield label, shared / len(words)
+            shared = block.intersection(words[position:])  # none before the first shared word
+            if len(shared) >= need:
+                yield label, len(shared) / len(words), frozenset(shared)
+
+    def named(self, block: set[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of the matches that no better match explains, sharing all their words and more."""
+        found = list(self.matches(block))
+        return [(label, c) for label, c, words in found if not any(words < more and c < best for _, best, more in found)]
 
 
 def _blocks(text: bytes, span: int) -> Iterator[set[bytes]]:
@@ -132,7 +138,7 @@ def scan_licenses(
                 places = list(_phrase_places(words, base))
                 starts = [at for at, _ in places]
                 based = {label for _, label in places}
-                found = [m for block in _blocks(text, span) for m in index.matches(block)] if not rare.isdisjoint(words) else []
+                found = [m for block in _blocks(text, span) for m in index.named(block)] if not rare.isdisjoint(words) else []
                 labels = based | {label for label, _ in found}
                 score = max([float(bool(based)), *(c for _, c in found)])
                 rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(based)), ",".join(sorted(labels)), score))

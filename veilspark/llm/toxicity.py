@@ -1,14 +1,15 @@
 """Toxicity: maximum-scoring segments over token log-odds with Dirichlet priors.
 
-Training counts, in toxic and in clean labelled texts, how often each word and each word beginning of
-three to eight letters occurs. The log-odds of a token between the two classes have an informative
-Dirichlet prior, the token's share of both classes together, and a variance; tokens whose
-z-score passes `Z_MIN` carry their log-odds. A word scores the best of its tokens, any other word `DRIFT`,
-below zero, so a text without such words scores less the longer it is. One linear scan finds every
-maximal segment (no part of it or extension of it scores more). Scores of chance segments follow an
-extreme-value law, whose scale solves sum(p * exp(scale * score)) = 1 over clean words; it turns a
-segment's score into the expected number of chance segments, and segments below `E_MAX` are the toxic
-passages. Their evidence is calibrated to the label by logistic regression.
+Training counts in how many toxic and clean labelled texts each word and each word beginning of three to
+eight letters occurs; equal texts count once. The log-odds of a token between the two classes have an
+informative Dirichlet prior, the token's share of both classes together, and a variance; tokens whose
+z-score passes `Z_MIN` carry their log-odds. A word scores its own log-odds if it is such a token, nothing if it
+is well known and is not, and else the best of its beginnings. Every other word scores `DRIFT`, below
+zero. One linear scan finds every maximal segment (no part or extension of it scores more).
+Scores of chance segments follow an extreme-value law, whose scale solves sum(p * exp(scale * score)) = 1 over
+clean words; it turns a segment's score into the expected number of chance segments, and segments
+below `E_MAX` are the toxic passages. What a text holds of them, and how densely its words score, is
+calibrated to the label by logistic regression.
 
 The classifier is fitted on at most `SAMPLE` labelled rows (those with the smallest id hash), everything
 else covers all texts. A document labelled several times is toxic if one label says so. Null texts
@@ -19,13 +20,12 @@ label. Without training rows, or with one class only, the score is 0 (1 if all a
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import packed, plain_words, staged, unpacked, utf8
@@ -33,8 +33,11 @@ from veilspark.llm.common import packed, plain_words, staged, unpacked, utf8
 SAMPLE = 20_000
 #: Tokens that a model holds at most, the most significant first: the bound of its broadcast.
 MAX_TOKENS = 100_000
-PRIOR = 1_000.0
-Z_MIN = 4.0
+#: Strength of the prior, as a share of the labelled texts.
+PRIOR = 1 / 30
+Z_MIN = 3.0
+#: A word of at least so many texts is well known.
+KNOWN = 5
 DRIFT = -0.25
 E_MAX = 0.05
 CHANCE = 0.1  # the extreme-value law's constant factor
@@ -73,7 +76,11 @@ class _Cache(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) >= _CACHED:
             self.clear()
-        value = self[word] = max((self.scores[t] for t in tokens_of(word) if t in self.scores), default=0.0)
+        whole, *beginnings = tokens_of(word)
+        value = self.scores.get(whole)
+        if value is None:
+            value = max((self.scores[t] for t in beginnings if t in self.scores), default=0.0)
+        self[word] = value
         return value
 
 
@@ -103,60 +110,64 @@ def maximal_segments(places: list[int], values: list[float], drift: float) -> li
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """(token, toxic, clean): occurrences of every token in `(text, toxic)`."""
+    """(token, toxic, clean): in how many of the texts `(text, toxic)` every token occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
-
-        def out() -> Iterator[pa.RecordBatch]:
-            both: dict[str, list[int]] = {}
-            for label, words in enumerate(seen):
-                for word, n in words.items():
-                    for token in tokens_of(word):
-                        both.setdefault(token, [0, 0])[label] += n
-                words.clear()
-            keys = list(both)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), *(pa.array([both[k][i] for k in keys], pa.int64()) for i in (1, 0))],
-                ["token", "toxic", "clean"],
-            )
+        seen: dict[str, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            counts = list(seen.values())
+            columns = [pa.array(list(seen), pa.string()), *(pa.array([c[k] for c in counts], pa.int64()) for k in (1, 0))]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(columns, ["token", "toxic", "clean"])
 
         for batch in batches:
             for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                seen[toxic].update(plain_words(text))
-            if len(seen[0]) + len(seen[1]) > _CACHED:
-                yield from out()
-        yield from out()
+                for token in {t for word in set(plain_words(text)) for t in tokens_of(word)}:
+                    seen.setdefault(token, [0, 0])[toxic] += 1
+                if len(seen) >= _CACHED:
+                    yield out()
+        yield out()
 
     counted = sample.select("text", "toxic").mapInArrow(count, "token string, toxic long, clean long")
     return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _log_odds(counts: DataFrame) -> tuple[list[tuple[str, float, int]], int]:
-    """(token, log-odds, clean count) of the significant tokens, and the number of clean words."""
-    words = F.col("token").endswith(" ")
-    n = counts.agg(*(F.coalesce(F.sum(F.when(words, F.col(c))), F.lit(0)).alias(c) for c in ("toxic", "clean"))).first()
-    if not n["toxic"] or not n["clean"]:
-        return [], n["clean"]
-    prior = F.lit(PRIOR / (n["toxic"] + n["clean"])) * (F.col("toxic") + F.col("clean"))
+def _log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, float, int]]:
+    """(token, log-odds, clean count) of the significant tokens; well-known other words whose beginning is one have 0."""
+    strength = PRIOR * (n_toxic + n_clean)
+    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean"))
 
-    def odds(label: str):
-        return F.log((F.col(label) + prior) / (F.lit(n[label] + PRIOR) - F.col(label) - prior))
+    def odds(label: str, n: int) -> Column:
+        return F.log((F.col(label) + prior) / (F.lit(n + strength) - F.col(label) - prior))
 
-    delta = odds("toxic") - odds("clean")
+    delta = odds("toxic", n_toxic) - odds("clean", n_clean)
     z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    best = counts.where("toxic > 1").select("token", delta.alias("score"), z.alias("z"), "clean")
-    rows = best.where(F.col("z") >= Z_MIN).orderBy(F.desc("z"), "token").limit(MAX_TOKENS).collect()
-    return [(r["token"], r["score"], r["clean"]) for r in rows], n["clean"]
-
-
-def _scale(tokens: list[tuple[str, float, int]], n_clean: int) -> float:
-    """The positive solution of sum(p * exp(scale * score)) = 1, with p smoothed by half an occurrence."""
-    if not tokens:
+    scored = counts.where("toxic > 1").select("token", delta.alias("score"), z.alias("z"), "clean")
+    rows = scored.where(F.col("z") >= Z_MIN).orderBy(F.desc("z"), "token").limit(MAX_TOKENS).collect()
+    found = [(r["token"], r["score"], r["clean"]) for r in rows]
+    beginnings = [(t,) for t, _, _ in found if not t.endswith(" ")]
+    if beginnings:
+        known = counts.where(F.col("token").endswith(" ") & (F.col("toxic") + F.col("clean") >= KNOWN))
+        word = F.rtrim("token")
+        cut = F.transform(F.sequence(F.lit(min(_BEGINNINGS)), F.lit(max(_BEGINNINGS))), lambda n: F.substring(word, F.lit(1), n))
+        parts = known.select("token", F.explode(F.array_distinct(cut)).alias("beginning"))
+        marked = counts.sparkSession.createDataFrame(beginnings, "beginning string")
+        plain = parts.join(marked, "beginning", "left_semi").select("token").distinct().orderBy("token").limit(MAX_TOKENS).collect()
+        scores = {t for t, _, _ in found}
+        found += [(r["token"], 0.0, 0) for r in plain if r["token"] not in scores]
+    return found
+
+
+def _scale(tokens: list[tuple[str, float, int]], n_words: int) -> float:
+    """The positive solution of sum(p * exp(scale * score)) = 1, with p smoothed by half an occurrence.
+
+    A word has several tokens and scores by one, so the shares of all tokens overstate chance a little.
+    """
+    score = np.array([s for _, s, _ in tokens if s])
+    if not len(score) or not n_words:
         return 1.0
-    score = np.array([s for _, s, _ in tokens])
-    p = np.array([c + 0.5 for _, _, c in tokens]) / (n_clean + 0.5 * len(tokens))
-    # A word has several tokens and scores by the best, so the shares of tokens overstate chance.
+    p = np.array([c + 0.5 for _, s, c in tokens if s]) / (n_words + 0.5 * len(score))
     rest = max(0.0, 1.0 - p.sum())
     low, high = 0.0, 50.0
     for _ in range(100):
@@ -169,41 +180,49 @@ def _scale(tokens: list[tuple[str, float, int]], n_clean: int) -> float:
 
 
 def _evidence(rows: DataFrame, model: Model, others: str) -> DataFrame:
-    """(others, strongest, passages, weight): what a text holds, as calibration sees it."""
+    """(others, strongest, passages, weight, density): what a text holds, as calibration sees it."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # at most MAX_TOKENS tokens
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         cache = _Cache(own.scores)
         for batch in batches:
-            out = np.zeros((3, batch.num_rows))
+            out = np.zeros((4, batch.num_rows))
             for k, text in enumerate(utf8(batch.column("text"))):
                 words = plain_words(text)
-                expected = sorted(own.expected(s, len(words)) for _, _, s in own.segments(words, cache))
+                found = own.segments(words, cache)
+                expected = sorted(own.expected(s, len(words)) for _, _, s in found)
                 toxic = [e for e in expected if e <= E_MAX]
                 if expected:
                     out[0, k] = min(max(0.0, -math.log10(max(expected[0], 1e-12))), 12.0)
                 out[1, k] = math.log1p(len(toxic))
                 out[2, k] = math.log1p(-sum(math.log10(max(e, 1e-300)) for e in toxic))
-            yield pa.RecordBatch.from_arrays([batch.column(others), *map(pa.array, out)], [others, "strongest", "passages", "weight"])
+                out[3, k] = 10 * sum(s for _, _, s in found) / (len(words) + 20)
+            yield pa.RecordBatch.from_arrays([batch.column(others), *map(pa.array, out)], [others, *_EVIDENCE])
 
     kind = rows.schema[others].dataType.simpleString()
-    return rows.select(others, "text").mapInArrow(scan, f"`{others}` {kind}, strongest double, passages double, weight double")
+    return rows.select(others, "text").mapInArrow(scan, f"`{others}` {kind}, " + ", ".join(f"{c} double" for c in _EVIDENCE))
 
 
-_EVIDENCE = ("strongest", "passages", "weight")
+_EVIDENCE = ("strongest", "passages", "weight", "density")
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
-    """Intercept and weights by Newton's method."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
+    """Intercept and weights by Newton's method, each step halved until the penalised likelihood does not fall."""
     if not len(y) or y.min() == y.max():
         return (60.0 if len(y) and y[0] else -60.0, *([0.0] * x.shape[1]))
     x = np.column_stack((np.ones(len(x)), x))
     w = np.zeros(x.shape[1])
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, (1 - 2 * y) * (x @ w)).sum() + ridge * (w @ w) / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
+        while np.abs(step).max() > 1e-9 and loss(w + step) > loss(w):
+            step /= 2
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return tuple(map(float, w))
@@ -213,10 +232,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Model:
     """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic 0 or 1; null is unlabelled)."""
     label = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     chosen = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # two numbers a row
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
-    tokens, n_clean = _log_odds(_counts(sample))
-    model = Model({t: s for t, s, _ in tokens}, _scale(tokens, n_clean), ())
-    rows = _evidence(sample, model, "toxic").toArrow()  # at most sample_rows rows of four numbers, but for repeated ids
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = staged(texts.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
+    n = sample.agg(*(F.count_if(F.col("toxic") == k).alias(f"n{k}") for k in (0, 1))).first()
+    counts = staged(_counts(sample), "tokens")
+    tokens = _log_odds(counts, n["n1"], n["n0"]) if n["n0"] and n["n1"] else []
+    words = counts.where(F.col("token").endswith(" ")).agg(F.coalesce(F.sum("clean"), F.lit(0))).first()[0]
+    model = Model({t: s for t, s, _ in tokens}, _scale(tokens, words), ())
+    rows = _evidence(sample, model, "toxic").toArrow()  # at most sample_rows rows of five numbers, but for repeated ids
     x = np.column_stack([rows.column(c).to_numpy() for c in _EVIDENCE])
     return Model(model.scores, model.scale, _fit_logistic(x, rows.column("toxic").to_numpy()))
 
