@@ -2,9 +2,9 @@
 
 A text's terms are its distinct words within a band of document frequency: at least `RARE` and at most
 `FREQUENT` of all documents. Each of `LEXICONS` randomised lexicon subsets keeps a hashed share of all terms, from a
-quarter down to a 1024th; the sorted terms of a text that are in a subset are hashed to four hex
+16th down to a 1024th; the sorted terms of a text that are in a subset are hashed to four hex
 digits, and the fingerprint is these digits in order, `----` where the subset holds none of the
-terms. A text with words but no term of the band has the digits of its folded text in every place. The
+terms. A text with words but no term in any subset has the digits of its folded text in every place. The
 likeness of two fingerprints is the share of equal digits among the subsets that hold a term of
 either text; small subsets survive an edit that large ones notice, so it falls with the size of an edit.
 
@@ -29,7 +29,7 @@ from veilspark.llm.common import staged
 
 RARE, FREQUENT = 0.002, 0.2
 #: For each subset, its share of the lexicon as one term in two to the power of so many.
-SHARE_BITS = (2,) * 2 + (4,) * 10 + (6,) * 16 + (8,) * 20 + (10,) * 16
+SHARE_BITS = (4,) * 4 + (6,) * 20 + (8,) * 24 + (10,) * 16
 LEXICONS = len(SHARE_BITS)
 NONE = "----"
 MAX_BROADCAST_TERMS = 1_000_000
@@ -61,11 +61,11 @@ def _mask(term: Column) -> Column:
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
-    """(term, mask) of the words within the document-frequency band of `docs` (text)."""
+    """(term, mask) of the words within the document-frequency band of `docs` (text) that a subset holds."""
     n = docs.count()
     counted = docs.select(F.explode(terms(fold(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = counted.where(F.col("df").between(max(2.0, RARE * n), max(2.0, FREQUENT * n)))
-    return staged(band.select("term", _mask(F.col("term")).alias("mask")), "lexicon")
+    return staged(band.select("term", _mask(F.col("term")).alias("mask")).where("mask <> 0"), "lexicon")
 
 
 def _hex4(value: Column) -> Column:
@@ -151,7 +151,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     split = both.select("range", "row", F.struct("doc_id", "n_chars", "edited_sha256").alias("doc"), F.inline(versions))
     split = split.select("range", "row", "doc", "version", F.xxhash64("text").alias("whole"), terms(F.col("text")).alias("terms"))
     single = split.select("range", "row", "version", F.when(F.size("terms") > 0, F.col("whole")).alias("whole"), "doc", F.posexplode_outer("terms").alias("place", "term"))
-    found = single.join(words, "term", "left").where("mask IS NOT NULL OR coalesce(place, 0) = 0")
+    # One row of a text carries what it has once; a text's other rows are small.
+    head = F.coalesce("place", F.lit(0)) == 0
+    single = single.select("range", "row", "version", "term", head.alias("head"), F.when(head, F.col("whole")).alias("whole"), F.when(head, F.col("doc")).alias("doc"))
+    found = single.join(words, "term", "left").where("mask IS NOT NULL OR head")
 
     def gathered(version: int) -> tuple[Column, Column]:
         mine = F.col("version") == version
@@ -159,7 +162,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         return F.array_sort(lists), F.max(F.when(mine, F.col("whole")))
 
     (own, own_whole), (other, other_whole) = gathered(0), gathered(1)
-    first = F.max(F.when((F.col("version") == 0) & (F.coalesce("place", F.lit(0)) == 0), F.col("doc"))).alias("doc")
+    first = F.max(F.when(F.col("version") == 0, F.col("doc"))).alias("doc")
     grouped = found.groupBy("range", "row").agg(first, own.alias("a"), own_whole.alias("aw"), other.alias("b"), other_whole.alias("bw"))
     marked = grouped.select("range", "row", "doc.*", _digits(F.col("a"), F.col("aw")).alias("fingerprint"), _digits(F.col("b"), F.col("bw")).alias("edited_fingerprint"))
     marked = staged(marked, "fingerprints", compression="zstd")
