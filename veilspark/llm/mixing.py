@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import packed
 
 #: Rows that one range of the hash holds on average: the unit of sorting.
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 5_000
 
 
 def word_count(text: Column) -> Column:
