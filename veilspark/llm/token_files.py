@@ -14,8 +14,10 @@ are ordered by a hash of their texts. An empty table gives files without rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 #: Texts go to the tokenizer in portions of about so many characters.
-_PORTION = 1 << 19
+_PORTION = 1 << 21
 
 
 def _portions(texts: list[str]) -> Iterator[list[str]]:
@@ -43,6 +45,53 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
         yield portion
 
 
+#: White space that a word may not simply be cut at: any but single spaces and line ends, and a space at the end.
+_UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}| \Z")
+_WORD = re.compile(r"\n| ?[^ \n]+")
+#: Characters of words whose ids are kept.
+_KEPT = 16 << 20
+
+
+class _Encoder:
+    """Ids of texts by a byte-level tokenizer, which is asked once for each distinct word.
+
+    Its pre-tokens never reach past a single space or line end between words, so a text's ids are those of
+    its words, each with the space before it, in order. A text with other white space is encoded in one piece.
+    """
+
+    def __init__(self, model, end_id: int) -> None:
+        self.model, self.end_id = model, end_id
+        self.clear()
+
+    def clear(self) -> None:
+        self.number, self.chars = {"": 0}, 0  # the empty word stands for the end of a text
+        self.ids, self.starts, self.sizes = np.array([self.end_id], np.int32), np.array([0]), np.array([1])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's ids end in it."""
+        if self.chars > _KEPT:
+            self.clear()
+        words: list[str] = []
+        for text in texts:
+            if text:
+                words += [text] if _UNEVEN.search(text) else _WORD.findall(text)
+            words.append("")
+        new = list(set(words) - self.number.keys())
+        if new:
+            lists = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))))
+            self.chars += sum(map(len, new))
+        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        places = np.arange(int(ends[-1])) + np.repeat(self.starts[which] - ends + sizes, sizes)
+        return self.ids[places], ends[which == 0]
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataFrame:
     """Sorted (doc_id, part, before, n_tokens, ids) of documents `(doc_id, text)`."""
     spark = docs.sparkSession
@@ -59,16 +108,13 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataFra
 
         model = Tokenizer.from_str(vocabulary.value)
         model.encode_special_tokens = True  # the name of a special token in a text is ordinary text
+        encoder = _Encoder(model, end_id)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
             for texts in _portions(batch.column(1).to_pylist()):
-                lists = [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-                sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
-                ends = np.cumsum(sizes)
-                ids = np.full(int(ends[-1]), end_id, np.int32)
-                for tokens, end, n in zip(lists, ends, sizes, strict=True):
-                    ids[end - n : end - 1] = tokens
+                ids, ends = encoder.encode(texts)
+                sizes = np.diff(ends, prepend=0)
                 offsets = np.concatenate(([0], ends)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
