@@ -13,6 +13,7 @@ are ordered by a hash of their texts. An empty table gives files without rows.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import zlib
@@ -45,11 +46,18 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
         yield portion
 
 
-#: White space that a word may not simply be cut at: any but single spaces and line ends, and a space at the end.
-_UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}| \Z")
-_WORD = re.compile(r"\n| ?[^ \n]+")
-#: Characters of words whose ids are kept.
-_KEPT = 16 << 20
+#: White space that texts are not cut at: any but single spaces and line ends between words. NUL marks the cuts.
+_ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x00\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
+#: Characters of words whose ids a worker keeps: with the ids, some 200 MB.
+_KEPT = 8 << 20
+
+
+def _cut(text: str) -> list[str]:
+    """Words with the space before them, and line ends; or the whole text, if it has other white space."""
+    if text[:1] == " " or text[-1:] == " " or any(d in text for d in _DOUBLE) or _ODD_SPACE.search(text):
+        return [text]
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 class _Encoder:
@@ -64,18 +72,17 @@ class _Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.chars = {"": 0}, 0  # the empty word stands for the end of a text
-        self.ids, self.starts, self.sizes = np.array([self.end_id], np.int32), np.array([0]), np.array([1])
+        self.number, self.chars = {None: 0, "": 1}, 0  # None stands for the end of a text
+        self.ids, self.starts, self.sizes = np.array([self.end_id], np.int32), np.array([0, 0]), np.array([1, 0])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's ids end in it."""
         if self.chars > _KEPT:
             self.clear()
-        words: list[str] = []
+        words: list[str | None] = []
         for text in texts:
-            if text:
-                words += [text] if _UNEVEN.search(text) else _WORD.findall(text)
-            words.append("")
+            words += _cut(text)
+            words.append(None)
         new = list(set(words) - self.number.keys())
         if new:
             lists = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
@@ -92,6 +99,22 @@ class _Encoder:
         return self.ids[places], ends[which == 0]
 
 
+_encoders: dict[tuple[str, int], _Encoder] = {}
+
+
+def _encoder(vocabulary: str, end_id: int) -> _Encoder:
+    """This worker's encoder: it keeps its words from task to task."""
+    key = (hashlib.sha256(vocabulary.encode()).hexdigest(), end_id)
+    if key not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_str(vocabulary)
+        model.encode_special_tokens = True  # the name of a special token in a text is ordinary text
+        _encoders[key] = _Encoder(model, end_id)
+    return _encoders[key]
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataFrame:
     """Sorted (doc_id, part, before, n_tokens, ids) of documents `(doc_id, text)`."""
     spark = docs.sparkSession
@@ -103,12 +126,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataFra
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_str(vocabulary.value)
-        model.encode_special_tokens = True  # the name of a special token in a text is ordinary text
-        encoder = _Encoder(model, end_id)
+        encoder = _encoder(vocabulary.value, end_id)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
