@@ -42,7 +42,7 @@ base AS (
   FROM customer LEFT JOIN spend ON c_custkey = o_custkey),
 profile AS (
   SELECT
-    'CUST' || lpad(CAST(id AS varchar), 8, '0') AS customer_id,
+    'CUST' || lpad(CAST(id AS varchar), CAST(greatest(8, length(CAST(id AS varchar))) AS integer), '0') AS customer_id,
     CASE WHEN id % 23 = 0 THEN NULL ELSE fn END AS first_name,
     CASE WHEN id % 23 = 0 THEN NULL ELSE ln END AS last_name,
     CASE WHEN id % 23 = 0 THEN NULL
@@ -164,7 +164,7 @@ snapshot AS (
 
 
 def generated() -> str:
-    day = "CAST(CAST('{}' AS date) + CAST(k AS integer) AS timestamp)"
+    day = "CAST(CAST('{}' AS date) + CAST(k % 2000000 AS integer) AS timestamp)"
     return f"""
     WITH numbered AS (
       SELECT id, id - 1 AS k, (SELECT greatest(5, length(CAST(count(*) AS varchar))) FROM customer) AS width
@@ -353,6 +353,7 @@ ORACLES: dict[str, str] = {
     "generate_customers": generated(),
     "customer_profile": SELECT_PROFILE,
     "typed_table": SELECT_PROFILE,
+    "typed_insert": SELECT_PROFILE,
     "customer_dataset": f"WITH {TOKENIZED} SELECT customer_id, {', '.join(COLUMNS)}, {', '.join(OTHERS[:8])} FROM tokenized",
     "customer_detail": f"""WITH {PROFILE} SELECT customer_id, first_name, last_name, email, phone_number, date_of_birth,
       preferred_language, total_purchases, total_spent,
@@ -412,7 +413,7 @@ ORACLES: dict[str, str] = {
     "avg_purchases_by_loyalty": averages("loyalty_status"),
     "avg_purchases_by_consent_marketing": averages("consent_marketing"),
     "avg_purchases_by_consent_sharing": averages("consent_data_sharing"),
-    "scalar_functions": """SELECT o_orderkey, 'ORD' || lpad(CAST(o_orderkey AS varchar), 10, '0') AS order_ref,
+    "scalar_functions": """SELECT o_orderkey, 'ORD' || lpad(CAST(o_orderkey AS varchar), CAST(greatest(10, length(CAST(o_orderkey AS varchar))) AS integer), '0') AS order_ref,
       lower(o_orderpriority) AS priority_lower, upper(o_orderpriority) AS priority_upper,
       trim('  ' || o_orderstatus || ' ') AS status, substr(md5(CAST(o_orderkey AS varchar)), 1, 16) AS digest,
       o_orderkey % 10 AS last_digit, CAST(CAST(o_totalprice AS decimal(18,2)) * 2 AS decimal(18,2)) AS doubled,

@@ -115,6 +115,15 @@ def typed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.typed(profile(spark, sf_dir))
 
 
+def typed_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared table, created, filled by two inserts and read back."""
+    name, rows = RunStore(spark).name("customers"), profile(spark, sf_dir)
+    odd = F.col("total_purchases") % 2 == 1
+    customers.insert_typed(rows.where(odd), name)
+    customers.insert_typed(rows.where(~odd), name)
+    return spark.table(name)
+
+
 def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.row_count(profile(spark, sf_dir))
 
@@ -399,7 +408,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        F.concat(F.lit("ORD"), F.lpad(number.cast("string"), 10, "0")).alias("order_ref"),
+        F.concat(F.lit("ORD"), F.lpad(number.cast("string"), F.greatest(F.lit(10), F.length(number.cast("string"))), "0")).alias("order_ref"),
         F.lower("o_orderpriority").alias("priority_lower"),
         F.upper("o_orderpriority").alias("priority_upper"),
         F.trim(F.concat(F.lit("  "), F.col("o_orderstatus"), F.lit(" "))).alias("status"),
@@ -451,6 +460,7 @@ QUERIES: dict[str, Query] = {
     "generate_customers": generate_customers,
     "customer_profile": profile,
     "typed_table": typed_table,
+    "typed_insert": typed_insert,
     "customer_dataset": customer_dataset,
     "customer_detail": customer_detail,
     "customer_overview": customer_overview,

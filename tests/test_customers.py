@@ -3,7 +3,7 @@ from conftest import rows
 
 from veilspark.operators.audit import tokenization_summary
 from veilspark.operators.vault import distinct_cells
-from veilspark.sources.customers import CUSTOMER_PII, CUSTOMER_SCHEMA, generate_customers, insert_typed, typed
+from veilspark.sources.customers import CUSTOMER_PII, CUSTOMER_SCHEMA, customer_profile, generate_customers, insert_typed, typed
 from veilspark.spec import PLAIN_TEXT, PiiSpec, Policy
 
 
@@ -54,3 +54,16 @@ def test_policy_and_spec_reject_mistakes():
     with pytest.raises(ValueError, match="cannot be protected"):
         PiiSpec(("a",), ("a",))
     assert Policy.for_prefix("demo").roles_with(PLAIN_TEXT) == ["DEMO_AUDITOR", "SYSADMIN"]
+
+
+def test_long_keys_are_not_cut(spark):
+    keys = [7, 99_999_999, 100_000_001, 100_000_002, 1_000_000_010, 999_999_999_999]
+    customer = spark.createDataFrame([(k,) for k in keys], "c_custkey long")
+    orders = spark.createDataFrame([], "o_custkey long, o_totalprice double, o_orderdate timestamp_ntz")
+    found = {r.customer_id for r in customer_profile(customer, orders).collect()}
+    assert found == {f"CUST{k:08d}" for k in keys}
+
+
+def test_generated_dates_start_over(spark):
+    made = generate_customers(spark, 2_000_001, partitions=4).where("customer_id IN ('CUST0000001', 'CUST2000001')")
+    assert made.select("signup_date").distinct().count() == 1

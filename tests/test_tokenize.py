@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 from veilspark.functions.cells import READ_BLANKS, has_pii, readable
 from veilspark.functions.tokens import TokenKey, padded_key
 from veilspark.operators import tokenize as tok
-from veilspark.operators.govern import detokenize
+from veilspark.operators.govern import detokenize, register_functions
 from veilspark.operators.merge import upsert
 from veilspark.operators.vault import (
     Vault,
+    addition_conflicts,
     build_vault,
     count_uses,
     refresh_vault,
+    shared_tokens,
     unresolved,
     vault_additions,
     vault_duplicates,
 )
-from veilspark.spec import PiiSpec
+from veilspark.spec import PiiSpec, Policy
 
 SPEC = PiiSpec(("name", "note"), ("id",))
 SCHEMA = "id bigint, name string, note string, other double"
@@ -141,6 +143,22 @@ def test_refresh_twice_adds_nothing(people, key):
     )
 
 
+def test_conflicts_are_found_before_an_append(spark, people, key):
+    vault = build_vault(people, SPEC, key)
+    token = vault.filter("column_name = 'name'").first()["token"]
+    assert addition_conflicts(vault, None).count() == 0
+    new = spark.createDataFrame([("name", token, "someone else", 1)], vault.schema)
+    assert rows(addition_conflicts(new, vault)) == [("name", "token", token, 2)]
+    other = spark.createDataFrame([("city", token, "elsewhere", 1)], vault.schema)
+    assert addition_conflicts(other, vault).count() == 0 and rows(shared_tokens(vault.unionByName(other))) == [(token,)]
+    with pytest.raises(ValueError, match="several values"):
+        register_functions(spark, Vault.open(vault.unionByName(other)), Policy.for_prefix("demo"), "clash_")
+
+
+def test_unmeasured_column_is_not_broadcast(people, key):
+    assert not Vault(build_vault(people, SPEC, key), {}).size("name").broadcast
+
+
 def test_vault_counts_and_duplicates(spark, people, key):
     vault = build_vault(people, SPEC, key)
     assert {(r.column_name, r.value): r.n_cells for r in vault.collect()}[("name", "Jonathan")] == 2

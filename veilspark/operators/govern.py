@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.cells import READ_BLANKS
 from veilspark.functions.masking import REDACTED_TEXT, checked_mode, mask_sql, visible, visible_by
-from veilspark.operators.vault import Vault, resolve
+from veilspark.operators.vault import Vault, resolve, shared_tokens
 from veilspark.sources.store import RunStore
 from veilspark.spec import MASKED, MODES, PLAIN_TEXT, REDACTED, PiiSpec, Policy, check_mode
 
@@ -152,8 +152,11 @@ def register_functions(spark: SparkSession, vault: Vault, policy: Policy, prefix
     `mask_detokenize(token)`.
 
     No column is named, so all slices of the vault are searched; namespaced tokens do not collide.
-    `user_context` is accepted and has no effect. An unknown mode fails the query.
+    `user_context` is accepted and has no effect. An unknown mode fails the query. A vault in which a token
+    stands for several values is refused.
     """
+    if not shared_tokens(vault.frame).isEmpty():
+        raise ValueError("the vault has tokens that stand for several values")
     _declare_role(spark)
     source = f"{prefix}vault_lookup"
     vault.frame.select("token", "value").createOrReplaceTempView(source)

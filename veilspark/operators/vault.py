@@ -91,6 +91,23 @@ def vault_duplicates(vault: DataFrame) -> DataFrame:
     return repeated("token", "token").unionByName(repeated("value", "value"))
 
 
+def addition_conflicts(additions: DataFrame, vault: DataFrame | None) -> DataFrame:
+    """`vault_duplicates` that appending `additions` would bring: among themselves, or with a token or value of `vault`."""
+    found = vault_duplicates(additions)
+    if vault is None:
+        return found
+    for kind in ("token", "value"):
+        known = vault.select("column_name", kind)
+        again = additions.join(known, ["column_name", kind], "left_semi")
+        found = found.unionByName(again.select("column_name", F.lit(kind).alias("kind"), F.col(kind).alias("item"), F.lit(2).cast("long").alias("n")))
+    return found
+
+
+def shared_tokens(vault: DataFrame) -> DataFrame:
+    """Tokens that stand for several values, whatever their columns: a lookup by token alone cannot tell them apart."""
+    return vault.groupBy("token").agg(F.min("value").alias("low"), F.max("value").alias("high")).filter("low <> high").select("token")
+
+
 def count_uses(vault: DataFrame, tokenized: DataFrame, spec: PiiSpec) -> DataFrame:
     """The vault with `n_cells` counted anew from a tokenized table (0 where unused)."""
     uses = long_cells(tokenized, spec.columns).filter(tokenizable(F.col("value")))
@@ -128,7 +145,8 @@ class Vault:
         return self.frame.filter(F.col("column_name") == column)
 
     def size(self, column: str) -> Slice:
-        return self.slices.get(column, Slice())
+        """A column that was not measured has an unknown size, and is not broadcast."""
+        return self.slices.get(column, Slice(broadcast=False))
 
 
 def save_slices(spark: SparkSession, table: str, slices: Mapping[str, Slice]) -> None:

@@ -14,11 +14,11 @@ from veilspark.operators.lookup import measure
 from veilspark.operators.tokenize import tokenize
 from veilspark.operators.vault import (
     VAULT_OPTIONS,
+    addition_conflicts,
     build_vault,
     save_slices,
     unresolved,
     vault_additions,
-    vault_duplicates,
 )
 from veilspark.spec import DEFAULT_BATCH_SIZE, PiiSpec
 
@@ -94,20 +94,18 @@ def check_resolvable(version: DataFrame, spec: PiiSpec, vault: DataFrame) -> Non
 
 
 def publish_vault(source: DataFrame, spec: PiiSpec, key: TokenKey, table: str) -> DataFrame:
-    """Append the values `table` lacks, check it, and keep its measured sizes with it.
+    """Append the values `table` lacks, checked before, and keep its measured sizes with it.
 
     Run again after a failure, it appends only what is missing.
     """
     spark = source.sparkSession
-    if spark.catalog.tableExists(table):
-        rows = vault_additions(source, spec, key, spark.table(table))
-    else:
-        rows = build_vault(source, spec, key)
+    known = spark.table(table) if spark.catalog.tableExists(table) else None
+    rows = build_vault(source, spec, key) if known is None else vault_additions(source, spec, key, known)
+    if not addition_conflicts(rows, known).isEmpty():  # before the append, so that a conflict leaves the vault as it is
+        raise PublishError(f"{table} would hold a token or value twice")
     writer = rows.write.mode("append").format("parquet").options(**VAULT_OPTIONS)
     writer.partitionBy("column_name").saveAsTable(table)
     vault = spark.table(table).select("column_name", "token", "value", "n_cells")
-    if not vault_duplicates(vault).isEmpty():
-        raise PublishError(f"{table} holds a token or value twice")
     save_slices(spark, table, measure(vault))
     return vault
 

@@ -67,6 +67,10 @@ LANGUAGES = ("English", "Spanish")
 DEFAULT_AS_OF = "2024-01-01 00:00:00"
 
 
+#: Days that generated dates run over, so that they stay within year 7500 for any number of rows.
+DAYS = 2_000_000
+
+
 def _pick(values: tuple[str, ...], index: Column) -> Column:
     """`values[index % len(values)]`."""
     return F.get(F.array(*[F.lit(v) for v in values]), index % len(values))
@@ -78,7 +82,7 @@ def generate_customers(
     """`n` sample customers, every column computed from the row's number.
 
     The id is as wide as the largest number needs (five digits at least), so ids stay unique for
-    any `n`; money is decimal(18,2) for the same reason.
+    any `n`; money is decimal(18,2) for the same reason. Days start over after `DAYS` rows.
     """
     width = max(5, len(str(n)))
     number, k = F.col("id"), F.col("id") - 1
@@ -86,7 +90,7 @@ def generate_customers(
     stamp = F.lit(as_of).cast("timestamp_ntz")
 
     def day(start: str) -> Column:
-        return F.date_add(F.lit(start).cast("date"), k.cast("int")).cast("timestamp_ntz")
+        return F.date_add(F.lit(start).cast("date"), (k % DAYS).cast("int")).cast("timestamp_ntz")
 
     rows = spark.range(1, n + 1, 1, partitions) if partitions else spark.range(1, n + 1)
     return rows.select(
@@ -130,7 +134,8 @@ def customer_profile(customer: DataFrame, orders: DataFrame) -> DataFrame:
         return F.when(~blank, value)
 
     def pad(value: Column, width: int) -> Column:
-        return F.lpad(value.cast("string"), width, "0")
+        digits = value.cast("string")
+        return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0")  # never cut
 
     empty = number % 23 == 0
     email = F.concat(
