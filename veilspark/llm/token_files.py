@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 #: Texts go to the tokenizer in portions of about so many characters.
-_PORTION = 1 << 20
+_PORTION = 1 << 19
 
 
 def _portions(texts: list[str]) -> Iterator[list[str]]:
@@ -49,8 +49,8 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
 #: White space that texts are not cut at: any but single spaces and line ends between words. NUL marks the cuts.
 _ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x00\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _DOUBLE = ("  ", "\n\n", " \n", "\n ")
-#: Characters of words whose ids a worker keeps: with the ids, less than 100 MB.
-_KEPT = 3 << 20
+#: Characters of words whose ids a worker keeps: with the ids, some 30 MB.
+_KEPT = 1 << 20
 
 
 def _cut(text: str) -> list[str]:

@@ -42,7 +42,7 @@ DRIFT = -0.25
 E_MAX = 0.05
 CHANCE = 0.1  # the extreme-value law's constant factor
 _BEGINNINGS = range(3, 9)
-_CACHED = 500_000
+_CACHED = 100_000
 
 
 def tokens_of(word: bytes) -> list[str]:
