@@ -58,11 +58,12 @@ def _find(words: list[bytes], vocabulary: set[bytes], windows: dict[int, dict[by
                     yield i, n, items
 
 
-_STATE = "doc {}, text string, hit binary, items array<string>"
+_STATE = "doc {}, hit binary, items array<string>"
+_TOTALS = "doc {}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _pass(state: DataFrame, grams: DataFrame) -> DataFrame:
-    """`state` with the windows `grams` (at most one slice) added to `hit` (a bit a word) and `items`."""
+def _pass(state: DataFrame, grams: DataFrame, last: bool) -> DataFrame:
+    """`state` with the windows `grams` (at most one slice) added to `hit` (a bit a word) and `items`; the last pass counts them."""
     rows = grams.toArrow()  # bounded by SLICE_WINDOWS
     shared = state.sparkSession.sparkContext.broadcast(
         (rows.column("item_id").to_pylist(), rows.column("words").to_pylist())
@@ -76,45 +77,41 @@ def _pass(state: DataFrame, grams: DataFrame) -> DataFrame:
             vocabulary.update(words)
             windows.setdefault(len(words), {}).setdefault(gram, []).append(item)
         for batch in batches:
-            hits, found = [], []
+            sizes, hits, found = [], [], []
             old = zip(batch.column("hit").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for text, (bits, items) in zip(utf8(batch.column("text")), old, strict=True):
+            for text, (bits, items) in zip(utf8(batch.column("doc").field("text")), old, strict=True):
                 words = plain_words(text)
                 mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)) if bits else np.zeros(len(words), np.uint8)
                 names = set(items or ())
                 for i, n, more in _find(words, vocabulary, windows):
                     mask[i : i + n] = 1
                     names.update(more)
-                hits.append(np.packbits(mask).tobytes())
+                sizes.append(len(words))
+                hits.append(int(mask.sum()) if last else np.packbits(mask).tobytes())
                 found.append(sorted(names))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("text"), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))],
-                ["doc", "text", "hit", "items"],
-            )
+            if last:
+                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
+                totals = (sizes, hits, list(map(len, found)))
+                columns = [*(pa.array(x, pa.int64()) for x in totals), pa.array(sha, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())]
+                labels = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+            else:
+                columns = [pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))]
+                labels = ["hit", "items"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns], ["doc", *labels])
 
-    return state.mapInArrow(scan, _STATE.format(state.schema["doc"].dataType.simpleString()))
+    return state.mapInArrow(scan, (_TOTALS if last else _STATE).format(state.schema["doc"].dataType.simpleString()))
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
     """(doc struct, n_words, n_hit, n_items, items_sha256, contaminated) of every row of `docs` (doc_id, text, ...)."""
     grams = staged(benchmark_windows(benchmark, window), "windows")
     slices = -(-grams.count() // slice_windows) or 1
-    none = (F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
-    state = packed(docs, text="text").select("doc", "text", *none)
+    none = {"hit": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")}
+    state = packed(docs, **none)
     for k in range(slices):
-        state = _pass(staged(state, "scan") if k else state, grams.where(F.pmod(F.xxhash64("words"), F.lit(slices)) == k))
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [len(plain_words(t)) for t in utf8(batch.column("text"))]
-            hit = [int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in batch.column("hit").to_pylist()]
-            items = batch.column("items").to_pylist()
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            columns = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns], ["doc", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    kind = state.schema["doc"].dataType.simpleString()
-    return state.mapInArrow(totals, f"doc {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        part = grams.where(F.pmod(F.xxhash64("words"), F.lit(slices)) == k)
+        state = _pass(staged(state, "scan") if k else state, part, last=k == slices - 1)
+    return state
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
