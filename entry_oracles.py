@@ -308,7 +308,8 @@ def summary() -> str:
       count(*) AS n_rows FROM profile"""
 
 
-def matrix() -> str:
+def matrix(vault_name: str = "vault", more: str = "") -> str:
+    """The matrix by the vault `vault_name`, which the tables `more` may define."""
     roles = ", ".join(f"('{r}', '{m}')" for r, m in DEMO_POLICY.roles.items())
     seen = " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, p.role, p.mode, t.{c} AS token, v.value, CASE p.mode
@@ -316,10 +317,10 @@ def matrix() -> str:
           WHEN 'MASKED' THEN {shown("MASKED", f"t.{c}", "v.value")}
           WHEN 'REDACTED' THEN CASE WHEN trim(t.{c}) <> '' THEN '*REDACTED*' ELSE t.{c} END
           ELSE t.{c} END AS seen
-        FROM tokenized t LEFT JOIN vault v ON v.column_name = '{c}' AND v.token = t.{c} CROSS JOIN policy p"""
+        FROM tokenized t LEFT JOIN {vault_name} v ON v.column_name = '{c}' AND v.token = t.{c} CROSS JOIN policy p"""
         for c in COLUMNS
     )
-    return f"""WITH {TOKENIZED}, policy(role, mode) AS (VALUES {roles}, ('PUBLIC', 'TOKEN')),
+    return f"""WITH {TOKENIZED},{more} policy(role, mode) AS (VALUES {roles}, ('PUBLIC', 'TOKEN')),
     seen AS ({seen}),
     kinds AS (SELECT role, column_name, mode, CASE WHEN seen IS NULL OR trim(seen) = '' THEN 'blank'
       WHEN seen = value THEN 'plain' WHEN seen = token THEN 'token' WHEN seen = '*REDACTED*' THEN 'redacted'
@@ -329,6 +330,13 @@ def matrix() -> str:
     FROM kinds GROUP BY role, column_name, mode"""
 
 
+def violations() -> str:
+    kept = " kept AS (SELECT * FROM vault WHERE column_name <> 'email' OR length(value) % 3 <> 0),"
+    return f"""SELECT * FROM ({matrix("kept", kept)}) WHERE (mode <> 'PLAIN_TEXT' AND n_plain > 0)
+      OR (mode IN ('PLAIN_TEXT', 'MASKED') AND n_token > 0) OR (mode IN ('REDACTED', 'TOKEN') AND n_masked > 0)
+      OR (mode = 'TOKEN' AND n_redacted > 0)"""
+
+
 def events(cell_sql: str) -> str:
     return f"""WITH seen AS (SELECT * REPLACE (CAST(user_id AS varchar) AS user_id) FROM events)
     SELECT event_id, ts, {cell_sql} AS user_id, event_type, value, props FROM seen"""
@@ -406,6 +414,7 @@ ORACLES: dict[str, str] = {
     "tokenization_summary": summary(),
     "tokenization_status": "SELECT 'Tokenization Complete' AS status, count(*) AS total_records FROM customer",
     "access_matrix": matrix(),
+    "access_violations": violations(),
     "table_report": f"""WITH {TOKENIZED}
       SELECT 'veil_customer_data' AS table_name, true AS table_exists, count(*) AS n_rows FROM tokenized
       UNION ALL SELECT 'veil_vault', true, count(*) FROM vault

@@ -385,6 +385,13 @@ def access_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.access_matrix(p.table, PII, p.vault.frame, DEMO_POLICY)
 
 
+def access_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit reports of a vault that has lost the e-mail values of a length divisible by three."""
+    p = published(spark, sf_dir)
+    kept = p.vault.frame.where("column_name <> 'email' OR length(value) % 3 <> 0")
+    return audit.access_violations(audit.access_matrix(p.table, PII, kept, DEMO_POLICY))
+
+
 def table_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = published(spark, sf_dir)
     p.table.createOrReplaceTempView("veil_customer_data")
@@ -505,6 +512,7 @@ QUERIES: dict[str, Query] = {
     "tokenization_summary": tokenization_summary,
     "tokenization_status": tokenization_status,
     "access_matrix": access_matrix,
+    "access_violations": access_violations,
     "table_report": table_report,
     "avg_purchases_by_loyalty": _average_by("loyalty_status"),
     "avg_purchases_by_consent_marketing": _average_by("consent_marketing"),

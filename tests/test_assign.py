@@ -141,3 +141,19 @@ def test_failed_reads_leave_no_value(source, key, store):
     sent = store.write(assign.assign_tokens(cells, key, HexClient), "sent")
     assert assign.read_values(sent, Down, backoff=0.01).count() == 0
     assert assign.read_values(sent.withColumn("token", F.lit("odd")), HexClient).count() == 0
+
+
+def test_errors_other_than_transport_fail_a_read(source, key, store):
+    class Denied(HexClient):
+        def detokenize(self, tokens, redaction):
+            raise PermissionError("denied")
+
+    class Short(HexClient):
+        def detokenize(self, tokens, redaction):
+            return super().detokenize(tokens, redaction)[:-1]
+
+    cells = distinct_cells(source, CUSTOMER_PII)
+    sent = store.write(assign.assign_tokens(cells, key, HexClient), "sent")
+    for client, message in ((Denied, "denied"), (Short, "received")):
+        with pytest.raises(Exception, match=message):
+            assign.read_values(sent, client, backoff=0.01).collect()

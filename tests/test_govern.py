@@ -144,6 +144,9 @@ def test_access_matrix_and_violations(spark, world):
     assert audit.access_violations(matrix).count() == 0
     leaky = matrix.withColumn("mode", F.lit("TOKEN"))
     assert audit.access_violations(leaky).count() > 0
+    lost = audit.access_matrix(table, CUSTOMER_PII, vault.frame.where("column_name <> 'email'"), POLICY)
+    seen = {(r.role, r.column_name, r.n_token) for r in audit.access_violations(lost).collect()}
+    assert ("DEMO_AUDITOR", "email", 50) in seen and {c for _, c, _ in seen} == {"email"}
 
 
 def test_status_and_report(spark, world, source):

@@ -1,4 +1,5 @@
 import uuid
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -95,6 +96,15 @@ def test_a_version_is_never_overwritten(spark, plain, monkeypatch):
         publish.write_version(generate_customers(spark, 3), table)
 
 
+def test_files_of_a_dead_run_do_not_block_versions(spark):
+    warehouse = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))
+    (warehouse / "left_over__v1").mkdir(parents=True)
+    (warehouse / "left_over__v1" / "part-0.parquet").write_bytes(b"half")
+    assert publish.write_version(generate_customers(spark, 3), "left_over") == "left_over__v2"
+    assert publish.write_version(generate_customers(spark, 4), "left_over") == "left_over__v3"
+    assert spark.table("left_over__v2").count() == 3
+
+
 def test_fingerprint_follows_the_files(spark, store):
     path = store.path("a")
     spark.range(3).write.parquet(path)
@@ -105,8 +115,6 @@ def test_fingerprint_follows_the_files(spark, store):
 
 
 def test_run_store_writes_once_and_removes_its_files(spark):
-    from pathlib import Path
-
     with RunStore(spark) as store:
         assert store.write(spark.range(3), "a").count() == 3
         with pytest.raises(Exception, match="exists"):

@@ -153,8 +153,9 @@ def read_values(
 ) -> DataFrame:
     """`(column_name, token, value, n_cells)` for distinct `(column_name, token, n_cells)`.
 
-    The vault renders the mode. A token it cannot resolve, or a call that still fails after the
-    retries, leaves no row, so the reader sees the token itself.
+    The vault renders the mode. A token it cannot resolve, or a call whose transport (an `OSError`)
+    still fails after the retries, leaves no row, so the reader sees the token itself. Any other error,
+    such as a short reply or a refused login, fails the job.
     """
     check_mode(mode)
 
@@ -166,9 +167,11 @@ def read_values(
                 sent = [row[1] for row in chunk]
                 try:
                     reply = with_retry(lambda: vault.detokenize(sent, mode), attempts, backoff)
-                    records = paired(reply, len(chunk), "detokenize")
-                except Exception:
+                except PermissionError:
+                    raise
+                except OSError:
                     continue
+                records = paired(reply, len(chunk), "detokenize")
                 for row, record in zip(chunk, records, strict=True):
                     if record.get("value") is not None:
                         yield column, row[1], record["value"], row[2]

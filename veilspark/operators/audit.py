@@ -141,10 +141,12 @@ def access_matrix(
 def access_violations(matrix: DataFrame) -> DataFrame:
     """Matrix rows where a role sees a kind of value its mode does not allow.
 
-    A raw token or a blank cell is never a violation. Neither is a value that equals its own mask.
+    A raw token is one where the role should read plain text or a mask: the vault has lost its value. A
+    blank cell is never a violation, and neither is a value that equals its own mask.
     """
     return matrix.filter(
         ((F.col("mode") != "PLAIN_TEXT") & (F.col("n_plain") > 0))
+        | (F.col("mode").isin("PLAIN_TEXT", "MASKED") & (F.col("n_token") > 0))
         | (F.col("mode").isin("REDACTED", "TOKEN") & (F.col("n_masked") > 0))
         | (F.col("mode").isin("TOKEN") & (F.col("n_redacted") > 0))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +48,19 @@ def versions(spark: SparkSession, table: str) -> list[str]:
 
 
 def write_version(df: DataFrame, table: str) -> str:
-    """Write `df` as the next version. Two runs racing for a number collide and one fails."""
+    """Write `df` as the next version. A number whose folder holds files, of a run that died or is still
+    writing, is passed over; of two runs that register one number, one fails."""
     last = versions(df.sparkSession, table)
     number = int(last[-1].rpartition("__v")[2]) + 1 if last else 1
-    version = f"{table}__v{number}"
-    df.write.mode("errorifexists").format("parquet").saveAsTable(version)
-    return version
+    while True:
+        version = f"{table}__v{number}"
+        try:
+            df.write.mode("errorifexists").format("parquet").saveAsTable(version)
+            return version
+        except PySparkException as error:
+            if error.getCondition() != "LOCATION_ALREADY_EXISTS":
+                raise
+            number += 1
 
 
 def point_view(spark: SparkSession, table: str, version: str) -> None:
