@@ -65,7 +65,8 @@ def lexicon(docs: DataFrame) -> DataFrame:
     n = docs.count()
     counted = docs.select(F.explode(terms(fold(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = counted.where(F.col("df").between(max(2.0, RARE * n), max(2.0, FREQUENT * n)))
-    return staged(band.select("term", _mask(F.col("term")).alias("mask")).where("mask <> 0"), "lexicon")
+    # Masks are compared after the table is written: before, the filter would move below the counting, to every word.
+    return staged(band.select("term", _mask(F.col("term")).alias("mask")), "lexicon").where("mask <> 0")
 
 
 def _hex4(value: Column) -> Column:
