@@ -78,12 +78,14 @@ def _digits(found: Column, whole: Column) -> Column:
 
     def subset(k: int) -> Column:
         bit = F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")
-        held = F.filter(found, lambda t: t["mask"].bitwiseAND(bit) != 0)
-        digits = _hex4(F.xxhash64(F.transform(held, lambda t: t["term"])))
-        return F.when(F.size(held) > 0, digits).otherwise(F.lit(NONE))
+        return F.xxhash64(F.filter(found, lambda t: t["mask"].bitwiseAND(bit) != 0))
 
+    # Each subset is hashed once and then read; the hash of an empty list is xxhash64's seed, 42.
+    hashes = F.array(*map(subset, range(LEXICONS)))
+    empty = F.lit(42)
+    digits = F.array_join(F.transform(hashes, lambda h: F.when(h == empty, F.lit(NONE)).otherwise(_hex4(h))), "")
     plain = F.repeat(F.coalesce(_hex4(whole), F.lit(NONE)), LEXICONS)
-    return F.when(F.size(found) > 0, F.concat(*map(subset, range(LEXICONS)))).otherwise(plain)
+    return F.when(F.size(found) > 0, digits).otherwise(plain)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -160,7 +162,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     def gathered(version: int) -> tuple[Column, Column]:
         mine = F.col("version") == version
         lists = F.collect_list(F.when(mine & F.col("mask").isNotNull(), F.struct("term", "mask")))
-        return F.array_sort(lists), F.max(F.when(mine, F.col("whole")))
+        return F.sort_array(lists), F.max(F.when(mine, F.col("whole")))
 
     (own, own_whole), (other, other_whole) = gathered(0), gathered(1)
     first = F.max(F.when(F.col("version") == 0, F.col("doc"))).alias("doc")
