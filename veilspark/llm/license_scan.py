@@ -9,6 +9,8 @@ label only if no better match in the block shares all its words and more.
 
 A block is a line. A line of more than two spans (a span: 64 words, at least twice the longest notice)
 is cut into blocks of two spans that overlap by one, so a notice within a span's length is never cut.
+Notices are wrapped anywhere, so the word sequence of the whole text is cut the same way. What matches in such a piece is a
+block where it lies within a window of five quarters of the notice's length: a bag of words from several lines says little.
 Base phrases are consecutive words anywhere in the text. Null texts are empty and have score 0. Repeated
 documents are scanned each.
 """
@@ -70,11 +72,13 @@ class NoticeIndex:
 
     def __init__(self, notices: tuple[tuple[str, str], ...], counts: dict[bytes, int], threshold: float) -> None:
         self.notices: list[tuple[str, list[bytes], int]] = []
+        self.lengths: list[int] = []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for k, (label, text) in enumerate(notices):
             words = sorted(set(plain_words(text.encode())), key=lambda w: (counts[w], w))
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
             self.notices.append((label, words, need))
+            self.lengths.append(len(plain_words(text.encode())))
             for position, word in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(word, []).append((k, position))
 
@@ -92,17 +96,34 @@ class NoticeIndex:
             if len(shared) >= need:
                 yield label, len(shared) / len(words), frozenset(shared)
 
+    def windows(self, piece: list[bytes]) -> Iterator[frozenset[bytes]]:
+        """The windows of `piece` that hold most of a notice that matches it, if enough."""
+        block = set(piece)
+        for (_, listed, need), length in zip(self.notices, self.lengths, strict=True):
+            wanted = block.intersection(listed)
+            if len(wanted) < need:
+                continue
+            held = [frozenset(piece[at : at + length + length // 4 + 1]) for at, word in enumerate(piece) if word in wanted]
+            most = max(len(wanted & window) for window in held)
+            if most >= need:
+                yield from {window for window in held if len(wanted & window) == most}
+
     def named(self, block: set[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of the matches that no better match explains, sharing all their words and more."""
         found = list(self.matches(block))
         return [(label, c) for label, c, words in found if not any(words < more and c < best for _, best, more in found)]
 
 
-def _blocks(text: bytes, span: int) -> Iterator[set[bytes]]:
+def _pieces(words: list[bytes], span: int) -> Iterator[list[bytes]]:
+    for at in range(0, max(1, len(words) - span), span):
+        yield words[at : at + 2 * span]
+
+
+def _blocks(index: NoticeIndex, text: bytes, words: list[bytes], span: int) -> Iterator[set[bytes]]:
     for line in text.split(b"\n"):
-        words = plain_words(line)
-        for at in range(0, max(1, len(words) - span), span):
-            yield set(words[at : at + 2 * span])
+        yield from map(set, _pieces(plain_words(line), span))
+    for piece in _pieces(words, span):
+        yield from index.windows(piece)
 
 
 def _phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> Iterator[tuple[int, str]]:
@@ -138,7 +159,7 @@ def scan_licenses(
                 places = list(_phrase_places(words, base))
                 starts = [at for at, _ in places]
                 based = {label for _, label in places}
-                found = [m for block in _blocks(text, span) for m in index.named(block)] if not rare.isdisjoint(words) else []
+                found = [m for block in _blocks(index, text, words, span) for m in index.named(block)] if not rare.isdisjoint(words) else []
                 labels = based | {label for label, _ in found}
                 score = max([float(bool(based)), *(c for _, c in found)])
                 rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(based)), ",".join(sorted(labels)), score))
