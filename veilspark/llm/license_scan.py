@@ -5,7 +5,8 @@ are ordered by how many documents hold them, rarest first. Of a notice with m wo
 shared, a matching block holds one of the m - o + 1 rarest (prefix filter), has at least o distinct words
 (length filter), and the words of the notice from the first shared one on must still suffice
 (positional filter). What passes is counted exactly. Notices share their common words, so a match gives its
-label only if no better match in the block shares all its words and more.
+label only if no match in the block that is as good shares all its words and more. The words that tell licenses apart must be
+among the shared ones.
 
 A block is a line. A line of more than two spans (a span: 64 words, at least twice the longest notice)
 is cut into blocks of two spans that overlap by one, so a notice within a span's length is never cut.
@@ -29,6 +30,8 @@ from veilspark.llm.common import plain_words, utf8
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 THRESHOLD = 0.8
 SPAN = 64
+#: Words that a match shares if the notice has them: without its name a short notice is any license's.
+NAMING = frozenset(b"mit apache lesser affero bsd mozilla cc commons".split())
 #: (label, notice). Short forms as projects write them, and the opening sentences of the long forms.
 NOTICES = (
     ("mit", "released under the MIT license"),
@@ -36,6 +39,7 @@ NOTICES = (
     ("mit", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
     ("apache", "licensed under the Apache license, version 2.0"),
     ("gpl", "licensed under the GNU general public license, version 3"),
+    ("gpl", "licensed under the GNU general public license"),
     ("gpl", "you can redistribute it and/or modify it under the terms of the GNU general public license as published by the free software foundation"),
     ("lgpl", "licensed under the GNU lesser general public license"),
     ("agpl", "licensed under the GNU affero general public license"),
@@ -72,6 +76,7 @@ class NoticeIndex:
 
     def __init__(self, notices: tuple[tuple[str, str], ...], counts: dict[bytes, int], threshold: float) -> None:
         self.notices: list[tuple[str, list[bytes], int]] = []
+        self.names: list[frozenset[bytes]] = []
         self.lengths: list[int] = []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for k, (label, text) in enumerate(notices):
@@ -79,11 +84,16 @@ class NoticeIndex:
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
             self.notices.append((label, words, need))
             self.lengths.append(len(plain_words(text.encode())))
+            self.names.append(NAMING.intersection(words))
             for position, word in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(word, []).append((k, position))
 
     def matches(self, block: set[bytes]) -> Iterator[tuple[str, float, frozenset[bytes]]]:
         """(label, containment, shared words) of every notice that `block` contains far enough."""
+        for _, *match in self._matches(block):
+            yield tuple(match)
+
+    def _matches(self, block: set[bytes]) -> Iterator[tuple[int, str, float, frozenset[bytes]]]:
         first: dict[int, int] = {}
         for word in self.prefix.keys() & block:
             for k, position in self.prefix[word]:
@@ -94,7 +104,7 @@ class NoticeIndex:
                 continue
             shared = block.intersection(words[position:])  # none before the first shared word
             if len(shared) >= need:
-                yield label, len(shared) / len(words), frozenset(shared)
+                yield k, label, len(shared) / len(words), frozenset(shared)
 
     def windows(self, piece: list[bytes]) -> Iterator[frozenset[bytes]]:
         """The windows of `piece` that hold most of a notice that matches it, if enough."""
@@ -109,9 +119,9 @@ class NoticeIndex:
                 yield from {window for window in held if len(wanted & window) == most}
 
     def named(self, block: set[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of the matches that no better match explains, sharing all their words and more."""
-        found = list(self.matches(block))
-        return [(label, c) for label, c, words in found if not any(words < more and c < best for _, best, more in found)]
+        """(label, containment) of the matches with their names that no match as good explains, sharing all their words and more."""
+        found = [(label, c, words) for k, label, c, words in self._matches(block) if self.names[k] <= words]
+        return [(label, c) for label, c, words in found if not any(words < more and c <= best for _, best, more in found)]
 
 
 def _pieces(words: list[bytes], span: int) -> Iterator[list[bytes]]:
