@@ -64,11 +64,13 @@ class _Encoder:
     """Ids of texts by a byte-level tokenizer, which is asked once for each distinct word.
 
     Its pre-tokens never reach past a single space or line end between words, so a text's ids are those of
-    its words, each with the space before it, in order. A text with other white space is encoded in one piece.
+    its words, each with the space before it, in order. A text with other white space is encoded in one piece, and so is
+    one that holds an added token such as <|endoftext|>, which gets its own id as in the library's plain encoding.
     """
 
     def __init__(self, model, end_id: int) -> None:
         self.model, self.end_id = model, end_id
+        self.added = [token.content for token in model.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -81,7 +83,7 @@ class _Encoder:
             self.clear()
         words: list[str | None] = []
         for text in texts:
-            words += _cut(text)
+            words += [text] if any(token in text for token in self.added) else _cut(text)
             words.append(None)
         new = list(set(words) - self.number.keys())
         if new:
@@ -110,7 +112,6 @@ def _encoder(vocabulary: str, end_id: int) -> _Encoder:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_str(vocabulary)
-        model.encode_special_tokens = True  # the name of a special token in a text is ordinary text
         _encoders[key] = _Encoder(model, end_id)
     return _encoders[key]
 
