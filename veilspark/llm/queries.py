@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontaminate, imatch, language, lattice, license_scan, mixing, page_text, simhash, token_files, toxicity
+from veilspark.llm import decontaminate, imatch, language, lattice, license_scan, mixing, page_text, prefix_trie, simhash, token_files, toxicity
 from veilspark.llm.common import id_remainder, run_folder, staged, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,6 +76,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = staged(prefix_trie.conversation_paths(table(spark, sf_dir, "conversations")), "conversations")
+    return prefix_trie.prefix_nodes(prefix_trie.with_shared_heads(paths))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_imatch,
         op10_language,
+        op11_prefix_trie,
         pipeline,
     )
 }
@@ -148,4 +154,37 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM folded LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
-ORACLES: dict[str, str] = {"op4_source_mix": _MIX_SQL, "op6_decontamination": _HITS_SQL}
+_TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+original AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(len(role) || ':' || role || text)) AS turns
+  FROM turns GROUP BY conv_id),
+headed AS (
+  SELECT conv_id, turns, conv_id - conv_id % 20 AS base, CAST(xor(list_reduce(
+           list_transform(range(1, len(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS INT), 1)) AS BIGINT)),
+           lambda crc, b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295::BIGINT), 4294967295) % 4 AS INT) AS h
+  FROM original),
+rebuilt AS (
+  SELECT x.conv_id, list_concat(coalesce(b.turns[1 : x.h], []), x.turns[x.h + 1 :]) AS turns
+  FROM headed x LEFT JOIN original b ON b.conv_id = x.base),
+members AS (
+  SELECT conv_id, len(turns) AS n, d AS depth, turns[1 : d] AS path, CASE WHEN d > 0 THEN turns[1 : d - 1] END AS above
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT path, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256,
+         CASE WHEN depth > 0 THEN (count(*) - 1) * len(regexp_extract_all(path[depth].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS saved
+  FROM members GROUP BY path, depth),
+kept AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.above = n.path) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.above),
+below AS (
+  SELECT path[1 : d] AS top, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT path, saved, n_children, unnest(range(0, depth + 1)) AS d FROM kept) GROUP BY path[1 : d])
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       n_leaves, saved_tokens, ends_sha256
+FROM kept JOIN below ON below.top = kept.path
+"""
+
+ORACLES: dict[str, str] = {"op11_prefix_trie": _TRIE_SQL, "op4_source_mix": _MIX_SQL, "op6_decontamination": _HITS_SQL}
