@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontaminate, imatch, language, lattice, license_scan, mixing, page_text, prefix_trie, simhash, token_files, toxicity
+from veilspark.llm import decontaminate, imatch, language, lattice, license_scan, line_index, mixing, page_text, prefix_trie, ranked_search, simhash, token_files, toxicity
 from veilspark.llm.common import id_remainder, run_folder, staged, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -81,6 +81,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(prefix_trie.with_shared_heads(paths))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = line_index.LineIndex.create(spark, run_folder(spark, "lines"), docs.schema["doc_id"].dataType.simpleString())
+    index.insert(docs)
+    return index.kept(docs).select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_imatch,
         op10_language,
         op11_prefix_trie,
+        op12_ranked_search,
+        op13_line_dedup,
         pipeline,
     )
 }
@@ -187,4 +200,46 @@ SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS
 FROM kept JOIN below ON below.top = kept.path
 """
 
-ORACLES: dict[str, str] = {"op11_prefix_trie": _TRIE_SQL, "op4_source_mix": _MIX_SQL, "op6_decontamination": _HITS_SQL}
+_LINES_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM docs)),
+repeated AS (
+  SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null')) > 1),
+marked AS (
+  SELECT lines.*, repeated.key IS NOT NULL AND (doc_id IS NULL OR doc_id > first) AS dropped
+  FROM lines LEFT JOIN repeated ON lines.key = repeated.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
+_SEARCH_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words
+  FROM documents),
+sizes AS (SELECT r, doc_id, words, len(words) AS n FROM docs WHERE len(words) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS length FROM sizes),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term
+  FROM benchmark),
+postings AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM sizes)
+  WHERE term IN (SELECT term FROM items) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, totals GROUP BY term, n_docs),
+scores AS (
+  SELECT item_id, p.r, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // length))))) AS BIGINT) AS score
+  FROM items i JOIN postings p ON i.term = p.term JOIN weights x ON x.term = p.term JOIN sizes s ON s.r = p.r, totals
+  GROUP BY item_id, p.r, doc_id),
+placed AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT * FROM placed WHERE rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op12_ranked_search": _SEARCH_SQL, "op13_line_dedup": _LINES_SQL, "op11_prefix_trie": _TRIE_SQL, "op4_source_mix": _MIX_SQL, "op6_decontamination": _HITS_SQL}
