@@ -93,12 +93,11 @@ def test_given_tables_and_skipping(spark):
     starts = np.concatenate(([0], np.cumsum(list(map(len, lists)))))
     weights = np.concatenate((np.full(280, 4_000), np.full(20, 500)))
     factors = rng.integers(300_000, 600_000, starts[-1])
-    row = ranked_search._shard(np.arange(n), starts, np.concatenate(lists), factors, weights, 64)
-    shard = {name: row.column(name)[0].values.to_numpy().astype(np.int64) for name in row.schema.names}
+    shard = ranked_search.build_shard(np.arange(n), starts, np.concatenate(lists), factors, weights, 64)
     query = np.array([14, 15, 16, 17, *range(285, 295)])
-    best, counts = ranked_search._Best(20), [0, 0]
-    ranked_search._search(shard, query, weights, best, np.zeros(size, np.int64), counts)
+    best = ranked_search._Best(20)
+    blocks, scored = ranked_search.search_shard(shard, query, weights, best)
     exact = np.array([sum(weights[t] * f for t, f in zip(lists[d], factors[starts[d] : starts[d + 1]], strict=True) if t in query) for d in range(n)])
     order = np.lexsort((np.arange(n), -exact))[:20]
     assert best.ids.tolist() == order.tolist() and best.scores.tolist() == exact[order].tolist()
-    assert counts[1] < counts[0] / 2
+    assert scored < blocks / 2

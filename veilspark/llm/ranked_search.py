@@ -1,15 +1,15 @@
-"""Ranked lexical search over an index whose posting lists are cut into blocks of similar documents.
+"""Ranked lexical search over posting lists that are cut into blocks of similar documents.
 
 Documents are dealt into shards as they are read; nothing is shuffled. A shard holds the term frequencies of its documents (as the factor
 of the score that depends on the document) and for every term a posting list. A list longer than a block is clustered: documents are compared by a
 random projection of their weighted terms with some of the list, and those nearest to the same one are
-neighbours. A block stores the largest factor of every term over its documents, rounded up. The weighted sum of these maxima over a query's terms is
-at least the score of each of its documents.
+neighbours. A block stores, for its own and every lighter term, the largest factor over its documents. The weighted sum of these maxima
+over a query's terms is at least what these terms add to the score of each of its documents.
 
 A query takes its lists from the heaviest term to the lightest. A document that holds a heavier term was met in that term's list, so
-a block's bound adds up only the terms from the current one on. A block is skipped only if its bound is below the score that the
-query's k-th best document of this task already has; otherwise its documents are scored exactly. The best of every task are ranked at the end. So
-the result is that of scoring all documents.
+the terms from the current one on are all that counts. A block is skipped only if its bound is below the score that the
+query's k-th best document of this task already has; otherwise its documents are scored exactly. A query leaves a shard when
+all that its remaining terms could add is below that score. The best of every task are ranked at the end. So the result is that of scoring all documents.
 
     weight of a term = floor(1000 ln((2N + 2) / (2 df + 1)))
     m of a document  = 50 + (50 n N) div L
@@ -17,16 +17,18 @@ the result is that of scoring all documents.
 
 N counts documents with a term, L all terms, n a document's terms, df the documents that hold a term, tf its occurrences.
 
-The index has the terms of one block of queries (at most `BLOCK_TERMS`), and so many queries are a read of the documents for each
-block; a block's terms and weights are all that the driver holds. Items that share an id, or have none, are one item with the
-terms of all. Items without terms, or whose terms no document holds, give no rows. Null and empty texts have no terms. A null doc_id comes after
-all others of its score; rows with equal ids are ranked each. Columns beyond id and text are ignored. Ids are integers.
+The lists have the terms of one block of queries (at most `BLOCK_TERMS`), so many queries are a read of the documents for each
+block, and a shard is searched by the task that builds it. A block's terms and weights are all that the driver holds. Items that share an id,
+or have none, are one item with the terms of all. Items without terms, or whose terms no document holds, give no rows. Null and empty texts
+have no terms. A null doc_id comes after all others of its score; rows with equal ids are ranked each. Columns beyond id and text are
+ignored. Ids are integers.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -34,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import plain_words, run_folder, staged, utf8
+from veilspark.llm.common import plain_words, staged, utf8
 
 #: Distinct terms of the queries that are answered in one pass.
 BLOCK_TERMS = 30_000
 #: Postings of a shard and documents of a block. Blocks below SMALL have no summary: their documents cost less than a bound.
 SHARD_POSTINGS, BLOCK, SMALL = 400_000, 256, 16
-#: Dimensions of the projection that documents of a list are compared by, and what summary values are rounded up to.
-DIMENSIONS, STEP = 16, 64
+#: Dimensions of the projection that documents of a list are compared by.
+DIMENSIONS = 16
 _LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
 
@@ -113,45 +115,57 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
-_ARRAYS = {
-    "doc_id": pa.int64(), "doc_start": pa.int32(), "term": pa.int32(), "factor": pa.int32(),
-    "block_term": pa.int32(), "block_start": pa.int32(), "posting": pa.int32(),
-    "summary_start": pa.int32(), "summary_term": pa.int32(), "summary_most": pa.int16(),
-}
-_KINDS = {pa.int64(): "bigint", pa.int32(): "int", pa.int16(): "smallint"}
-INDEX_SCHEMA = ", ".join(f"{name} array<{_KINDS[kind]}>" for name, kind in _ARRAYS.items())
-
-
 def _clustered(own: np.ndarray, sketch: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The documents of a list in the order of its blocks, and where the blocks start."""
+    """The order that puts the documents of a list into blocks, and where the blocks start."""
     if len(own) <= block:
-        return own, np.array([0])
+        return np.arange(len(own)), np.array([0])
     pivots = own[np.linspace(0, len(own) - 1, -(-len(own) // block)).astype(np.int64)]
     cell = np.argmax(sketch[own] @ sketch[pivots].T, 1)
     order = np.argsort(cell, kind="stable")
     cell = cell[order]
     place = (np.arange(len(cell)) - np.searchsorted(cell, cell)) // block  # a cell larger than a block is several blocks
-    starts = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
-    return own[order], starts
+    return order, np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+
+
+@dataclass
+class Shard:
+    """Documents and their posting lists. Terms are numbered from the heaviest to the lightest, and sorted in each document.
 
+    `doc_start` and `block_start` tell where the entries (`term`, `factor`) of a document and the documents (`posting`) of a block start, `list_start`
+    where the blocks of a term start; a block's summary is `summary_term` and `summary_most` from its `summary_start` on.
+    """
 
-def _shard(doc_ids: np.ndarray, starts: np.ndarray, terms: np.ndarray, factors: np.ndarray, weights: np.ndarray, block: int) -> pa.RecordBatch:
-    """The index row of a shard: its documents, and the blocks of its posting lists with their summaries."""
-    sizes = np.diff(starts)
-    size = len(weights)
+    doc_id: np.ndarray
+    doc_start: np.ndarray
+    term: np.ndarray
+    factor: np.ndarray
+    most: np.ndarray
+    list_start: np.ndarray
+    block_start: np.ndarray
+    posting: np.ndarray
+    summary_start: np.ndarray
+    summary_term: np.ndarray
+    summary_most: np.ndarray
+
+
+def build_shard(doc_id: np.ndarray, doc_start: np.ndarray, term: np.ndarray, factor: np.ndarray, weights: np.ndarray, block: int = BLOCK) -> Shard:
+    """The posting lists of some documents, in blocks with their summaries."""
+    size, sizes = len(weights), np.diff(doc_start)
     projection = np.random.default_rng(5).standard_normal((size, DIMENSIONS)).astype(np.float32)
-    scores = (weights[terms] * factors).astype(np.float32)
-    sketch = np.add.reduceat(projection[terms] * scores[:, None], starts[:-1], axis=0)
+    scores = (weights[term] * factor).astype(np.float32)
+    sketch = np.add.reduceat(projection[term] * scores[:, None], doc_start[:-1], axis=0)
     sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-6)
-    by_term = np.argsort(terms, kind="stable")
+    by_term = np.argsort(term, kind="stable")
     doc_of = np.repeat(np.arange(len(sizes)), sizes)[by_term]
-    bounds = np.searchsorted(terms[by_term], np.arange(size + 1))
-    block_term, block_start, posting, summary_start = [], [], [], [0]
+    bounds = np.searchsorted(term[by_term], np.arange(size + 1))
+    n_blocks, block_start, posting, summary_start = np.zeros(size, np.int64), [], [], [0]
     summary_term, summary_most = [np.array([], np.int64)], [np.array([], np.int64)]
     at = filled = 0
-    for term in np.flatnonzero(np.diff(bounds)).tolist():
-        own, cuts = _clustered(doc_of[bounds[term] : bounds[term + 1]], sketch, block)
-        block_term += [term] * len(cuts)
+    for t in np.flatnonzero(np.diff(bounds)).tolist():
+        places = by_term[bounds[t] : bounds[t + 1]]
+        order, cuts = _clustered(doc_of[bounds[t] : bounds[t + 1]], sketch, block)
+        own = doc_of[bounds[t] : bounds[t + 1]][order]
+        n_blocks[t] = len(cuts)
         block_start.append(cuts + at)
         posting.append(own)
         at += len(own)
@@ -160,59 +174,27 @@ def _shard(doc_ids: np.ndarray, starts: np.ndarray, terms: np.ndarray, factors:
             summary_start += [filled] * len(cuts)
             continue
         whole = np.repeat(held >= SMALL, held)
-        entries = _ranges(starts[own[whole]], sizes[own[whole]])
-        of_block = np.repeat(np.repeat(np.arange(len(cuts)), held)[whole], sizes[own[whole]])
-        most = np.zeros(len(cuts) * size, np.int32)
-        np.maximum.at(most, of_block * size + terms[entries], factors[entries])
+        # A document's entries from this term on are those of this and all lighter terms.
+        first = places[order][whole]
+        length = doc_start[own[whole] + 1] - first
+        entries = _ranges(first, length)
+        width = size - t
+        at_block = np.repeat(np.repeat(np.arange(len(cuts)), held)[whole] * width - t, length)
+        most = np.zeros(len(cuts) * width, np.int64)
+        np.maximum.at(most, at_block + term[entries], factor[entries])
         kept = np.flatnonzero(most)
-        summary_start += (filled + np.searchsorted(kept, np.arange(1, len(cuts) + 1) * size)).tolist()
-        summary_term.append(kept % size)
-        summary_most.append(-(-most[kept] // STEP))
+        summary_start += (filled + np.searchsorted(kept, np.arange(1, len(cuts) + 1) * width)).tolist()
+        summary_term.append(kept % width + t)
+        summary_most.append(most[kept])
         filled += len(kept)
-    block_start.append(np.array([at]))
-    columns = [doc_ids, starts, terms, factors, block_term, *map(np.concatenate, (block_start, posting)), summary_start, *map(np.concatenate, (summary_term, summary_most))]
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(np.asarray(x)).cast(kind)) for x, kind in zip(columns, _ARRAYS.values(), strict=True)]
-    return pa.RecordBatch.from_arrays(lists, list(_ARRAYS))
-
-
-def build_index(frequencies: DataFrame, stats: tuple[int, int, np.ndarray], folder: str, shard_postings: int = SHARD_POSTINGS, block: int = BLOCK) -> DataFrame:
-    """Write the index of documents `(doc_id, n, terms, tfs)` to `folder`, a row for each shard, and read it back."""
-    n_docs, length, weights = stats
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, terms, factors, held = [], [], [], [], 0
-
-        def shard() -> pa.RecordBatch:
-            starts = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-            return _shard(np.concatenate(ids), starts, np.concatenate(terms), np.concatenate(factors), weights, block)
-
-        for batch in batches:
-            doc_ids = batch.column("doc_id").fill_null(_LAST).to_numpy()
-            bounds = batch.column("terms").offsets.to_numpy().astype(np.int64)
-            all_terms, all_tfs = (batch.column(c).values.to_numpy()[: bounds[-1]].astype(np.int64) for c in ("terms", "tfs"))
-            m = 50 + 50 * batch.column("n").to_numpy() * n_docs // length
-            at = 0
-            while at < len(doc_ids):
-                end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + shard_postings - held, "right")) - 1)
-                of = slice(bounds[at], bounds[end])
-                sizes.append(np.diff(bounds[at : end + 1]))
-                tf = all_tfs[of]
-                ids.append(doc_ids[at:end])
-                terms.append(all_terms[of])
-                factors.append(1_000_000_000 * tf // (1000 * tf + 20 * np.repeat(m[at:end], sizes[-1])))
-                held += len(tf)
-                at = end
-                if held >= shard_postings or at < len(doc_ids):
-                    yield shard()
-                    ids, sizes, terms, factors, held = [], [], [], [], 0
-        if ids:
-            yield shard()
-
-    # Documents without a term of the vocabulary score 0; terms of weight 0 add nothing, but are kept.
-    rows = frequencies.where(F.size("terms") > 0)
-    # Small row groups let a task read few shards at a time.
-    rows.mapInArrow(build, INDEX_SCHEMA).write.options(**{"parquet.block.size": str(16 << 20), "compression": "zstd"}).parquet(folder)
-    return frequencies.sparkSession.read.schema(INDEX_SCHEMA).parquet(folder)
+    most = np.zeros(size, np.int64)
+    np.maximum.at(most, term, factor)
+    list_start = np.concatenate(([0], np.cumsum(n_blocks)))
+    starts = np.concatenate((*block_start, [at]))
+    return Shard(
+        doc_id, doc_start, term, factor, most, list_start, starts, np.concatenate(posting), np.array(summary_start),
+        np.concatenate(summary_term), np.concatenate(summary_most),
+    )
 
 
 class _Best:
@@ -232,58 +214,91 @@ class _Best:
                 self.least = int(self.scores[-1])
 
 
-def _search(shard: dict[str, np.ndarray], query: np.ndarray, weights: np.ndarray, best: _Best, left: np.ndarray, counts: list[int]) -> None:
-    """Add the documents of a shard to the best of a query with these terms; `left` is a vector of zeros, and so it stays."""
-    doc_start, block_start, summary_start = shard["doc_start"], shard["block_start"], shard["summary_start"]
-    term, factor, summary_term, summary_most = shard["term"], shard["factor"], shard["summary_term"], shard["summary_most"]
-    first, last = np.searchsorted(shard["block_term"], query), np.searchsorted(shard["block_term"], query, "right")
-    held = last > first
-    query, first, last = query[held], first[held], last[held]
-    order = np.argsort(-weights[query], kind="stable")
-    seen = np.zeros(len(shard["doc_id"]), bool)
-    full = np.zeros(len(weights), np.int64)
-    full[query] = left[query] = weights[query]
-    for k in order.tolist():
-        a, b = int(first[k]), int(last[k])
-        ends = summary_start[a : b + 1]
+def search_shard(shard: Shard, query: np.ndarray, weights: np.ndarray, best: _Best) -> tuple[int, int]:
+    """Add a shard's documents to the best of a query, given by its terms in ascending order; returns how many of its blocks there were and how many were scored."""
+    query = query[shard.most[query] > 0]
+    left = np.zeros(len(weights), np.int64)  # the weights of the terms that are still to come
+    left[query] = weights[query]
+    full = left.copy()
+    rest = np.cumsum((left[query] * shard.most[query])[::-1])[::-1]
+    seen = np.zeros(len(shard.doc_id), bool)
+    scored = 0
+    for term, most_left in zip(query.tolist(), rest.tolist(), strict=True):
+        if most_left < best.least:
+            break
+        a, b = int(shard.list_start[term]), int(shard.list_start[term + 1])
+        ends = shard.summary_start[a : b + 1]
         has = np.diff(ends) > 0
         chosen = ~has
         if has.any():
             entries = slice(ends[0], ends[-1])
-            parts = left[summary_term[entries]] * summary_most[entries]
-            bound = np.add.reduceat(parts, (ends[:-1] - ends[0])[has]) * STEP
-            chosen[has] = bound >= best.least
-        counts[0] += b - a
-        counts[1] += int(chosen.sum())
+            parts = left[shard.summary_term[entries]] * shard.summary_most[entries]
+            chosen[has] = np.add.reduceat(parts, (ends[:-1] - ends[0])[has]) >= best.least
+        scored += int(chosen.sum())
         own = np.arange(a, b)[chosen]
-        docs = shard["posting"][_ranges(block_start[own], block_start[own + 1] - block_start[own])]
+        docs = shard.posting[_ranges(shard.block_start[own], shard.block_start[own + 1] - shard.block_start[own])]
         docs = docs[~seen[docs]]
         if len(docs):
             seen[docs] = True
-            sizes = doc_start[docs + 1] - doc_start[docs]
-            entries = _ranges(doc_start[docs], sizes)
-            parts = full[term[entries]] * factor[entries]
-            best.add(np.add.reduceat(parts, np.cumsum(sizes) - sizes), shard["doc_id"][docs])
-        left[query[k]] = 0
-
+            sizes = shard.doc_start[docs + 1] - shard.doc_start[docs]
+            entries = _ranges(shard.doc_start[docs], sizes)
+            parts = full[shard.term[entries]] * shard.factor[entries]
+            best.add(np.add.reduceat(parts, np.cumsum(sizes) - sizes), shard.doc_id[docs])
+        left[term] = 0
+    return int((shard.list_start[query + 1] - shard.list_start[query]).sum()), scored
+
+
+def search(
+    frequencies: DataFrame, stats: tuple[int, int, np.ndarray], queries: list[np.ndarray], k: int, shard_postings: int = SHARD_POSTINGS, block: int = BLOCK
+) -> DataFrame:
+    """(query, doc_id, score): the k best documents `(doc_id, n, terms, tfs)` of each task for every query, given by numbers of terms."""
+    shared = frequencies.sparkSession.sparkContext.broadcast((stats, queries))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (n_docs, length, weights), queries = shared.value
+        # From here on terms are numbered from the heaviest to the lightest.
+        number = np.empty(len(weights), np.int64)
+        number[np.argsort(-weights, kind="stable")] = np.arange(len(weights))
+        weights = np.sort(weights)[::-1]
+        queries = [np.sort(number[q]) for q in queries]
+        best = [_Best(k) for _ in queries]
+        ids, sizes, terms, factors, held = [], [], [], [], 0
 
-def search_index(index: DataFrame, queries: list[np.ndarray], weights: np.ndarray, k: int) -> DataFrame:
-    """(query, doc_id, score): the k best documents of each task for every query, given as numbers of terms."""
-    shared = index.sparkSession.sparkContext.broadcast((queries, weights))
+        def search_held() -> None:
+            starts = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+            term, factor = np.concatenate(terms), np.concatenate(factors)
+            order = np.argsort(np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * len(weights) + term)
+            shard = build_shard(np.concatenate(ids), starts, term[order], factor[order], weights, block)
+            for query, found in zip(queries, best, strict=True):
+                search_shard(shard, query, weights, found)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, weights = shared.value
-        best, left = [_Best(k) for _ in queries], np.zeros(len(weights), np.int64)
         for batch in batches:
-            for at in range(len(batch)):
-                shard = {name: batch.column(name)[at].values.to_numpy().astype(np.int64) for name in _ARRAYS}
-                for query, found in zip(queries, best, strict=True):
-                    _search(shard, query, weights, found, left, [0, 0])
-        for number, found in enumerate(best):
-            ids = pa.array(found.ids, mask=found.ids == _LAST)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number, np.int32)), ids, pa.array(found.scores)], ["query", "doc_id", "score"])
+            doc_ids = batch.column("doc_id").fill_null(_LAST).to_numpy()
+            bounds = batch.column("terms").offsets.to_numpy().astype(np.int64)
+            all_terms, all_tfs = (batch.column(c).values.to_numpy()[: bounds[-1]].astype(np.int64) for c in ("terms", "tfs"))
+            m = 50 + 50 * batch.column("n").to_numpy() * n_docs // length
+            at = 0
+            while at < len(doc_ids):
+                end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + shard_postings - held, "right")) - 1)
+                of = slice(bounds[at], bounds[end])
+                sizes.append(np.diff(bounds[at : end + 1]))
+                tf = all_tfs[of]
+                ids.append(doc_ids[at:end])
+                terms.append(number[all_terms[of]])
+                factors.append(1_000_000_000 * tf // (1000 * tf + 20 * np.repeat(m[at:end], sizes[-1])))
+                held += len(tf)
+                at = end
+                if held >= shard_postings or at < len(doc_ids):
+                    search_held()
+                    ids, sizes, terms, factors, held = [], [], [], [], 0
+        if ids:
+            search_held()
+        for query, found in enumerate(best):
+            ids_found = pa.array(found.ids, mask=found.ids == _LAST)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids_found), query, np.int32)), ids_found, pa.array(found.scores)], ["query", "doc_id", "score"])
 
-    return index.mapInArrow(search, "query int, doc_id long, score long")
+    # Documents without a term of the vocabulary score 0.
+    return frequencies.where(F.size("terms") > 0).mapInArrow(find, "query int, doc_id long, score long")
 
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = 50, block_terms: int = BLOCK_TERMS, **options: int) -> DataFrame:
@@ -296,9 +311,8 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 50, block_terms: int = BL
         number = {term: at for at, term in enumerate(vocabulary)}
         frequencies = staged(term_frequencies(docs, vocabulary), "frequencies")
         stats = term_weights(frequencies, len(vocabulary))
-        index = build_index(frequencies, stats, run_folder(spark, "postings"), **options)
         queries = [np.array([x for x in (number[t] for t in terms) if stats[2][x] > 0], np.int64) for _, terms in block]
-        found = search_index(index, queries, stats[2], k)
+        found = search(frequencies, stats, queries, k, **options)
         names = spark.createDataFrame([(at, item_id) for at, (item_id, _) in enumerate(block)], f"query int, item_id {kind}")
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
         top = found.withColumn("rank", place).where(F.col("rank") <= k)
