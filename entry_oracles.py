@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entry_queries import DEMO_POLICY, DEMO_SECRET, PAGE_OFFSET, PAGE_SIZE
+from entry_queries import DEMO_POLICY, DEMO_SECRET, LOST_TOKEN, PAGE_OFFSET, PAGE_SIZE, SHARED_EMAIL
 from veilspark.functions.tokens import padded_key
 from veilspark.sources.customers import ADDRESSES, BIRTH_DATES, DEFAULT_AS_OF
 from veilspark.spec import DEFAULT_BATCH_SIZE
@@ -285,6 +285,20 @@ def redacted_view() -> str:
     return f"WITH {TOKENIZED} SELECT customer_id, {cells}, {TAIL} FROM tokenized"
 
 
+SHARES_EMAIL = "(email IS NOT NULL AND CAST(substr(customer_id, 5) AS bigint) % 10 <> 0)"
+GROWN = f"""{PROFILE},
+grown AS (SELECT * REPLACE (CASE WHEN {SHARES_EMAIL} THEN '{SHARED_EMAIL}' ELSE email END AS email) FROM profile)"""
+
+
+def grown_masked(email: str | None = None) -> str:
+    """Masked cells of the grown table; `email` is what a shared address shows instead."""
+    shown_as = {c: f"CASE WHEN trim({c}) <> '' THEN {mask(c)} ELSE {c} END" for c in COLUMNS}
+    if email:
+        shown_as["email"] = f"CASE WHEN {SHARES_EMAIL} THEN '{email}' ELSE {shown_as['email']} END"
+    cells = ", ".join(f"{sql} AS {c}" for c, sql in shown_as.items())
+    return f"WITH {GROWN} SELECT customer_id, {cells}, {TAIL} FROM grown"
+
+
 def coverage() -> str:
     def one(c: str) -> str:
         wanted = f"coalesce(trim({c}) <> '', false)"
@@ -398,6 +412,9 @@ ORACLES: dict[str, str] = {
     "detokenize_redacted": read("REDACTED"),
     "detokenize_by_mode": by_mode(),
     "detokenize_unknown": unknown(),
+    "detokenize_after_growth": f"WITH {GROWN} SELECT {ALL} FROM grown",
+    "detokenize_bucketed": grown_masked(),
+    "policy_unknown_hot": grown_masked(LOST_TOKEN),
     "policy_auditor": read("PLAIN_TEXT"),
     "policy_admin": read("PLAIN_TEXT"),
     "policy_customer_service": read("MASKED"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from veilspark.operators import audit, govern, insights, paging
 from veilspark.operators import tokenize as tok
 from veilspark.operators import vault as vaults
 from veilspark.operators.assign import assign_tokens, read_values, tokenize_via_vault
+from veilspark.operators.lookup import LookupLimits
 from veilspark.operators.merge import upsert
 from veilspark.operators.numbering import batch_plan, number_rows
 from veilspark.plans import publish
@@ -33,6 +34,10 @@ DEMO_POLICY = Policy.for_prefix("demo")
 EVENT_PII = PiiSpec(columns=("user_id",), key=("event_id",))
 SNAPSHOT_KEYS = ["customer_id", "email", "total_purchases", "created_at"]
 PAGE_OFFSET, PAGE_SIZE = 50, 25
+# In the grown table nine of ten customers share an address.
+SHARED_EMAIL, LOST_TOKEN = "everyone@example.com", "tok_lost"
+# No slice of a vault counts as small, so every lookup takes the form of a large one.
+ALL_LARGE = LookupLimits(broadcast_bytes=0, hot_cells=100)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +80,32 @@ def published(spark: SparkSession, sf_dir: str) -> Published:
     )
 
 
+def _shares_email() -> Column:
+    return F.col("email").isNotNull() & (F.substring("customer_id", 5, 20).cast("bigint") % 10 != 0)
+
+
+_grown: dict[tuple, str] = {}
+
+
+def grown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, vaults.Vault]:
+    """A table published from a fiftieth of the customers and again from all, when one e-mail address fills nine tenths of its column.
+
+    Its vault is stored in buckets and opened as if every slice were large.
+    """
+    paths = [f"{sf_dir}/{name}.parquet" for name in ("customer", "orders")]
+    wanted = (spark.sparkContext.applicationId, sf_dir, input_fingerprint(spark, *paths))
+    if wanted not in _grown:
+        store, key = RunStore(spark), demo_key(spark)
+        source = profile(spark, sf_dir).withColumn("email", F.when(_shares_email(), SHARED_EMAIL).otherwise(F.col("email")))
+        few = F.substring("customer_id", 5, 20).cast("bigint") % 50 == 1
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for rows in (source.where(few), source):
+            publish.tokenize_and_publish(rows, PII, key, store.name("grown"), store.name("vault"), buckets=buckets, limits=ALL_LARGE)
+        _grown[wanted] = store.database
+    database = _grown[wanted]
+    return spark.table(f"{database}.grown"), vaults.Vault.stored(spark, f"{database}.vault", ALL_LARGE)
+
+
 # Generators, scans, snapshots
 
 
@@ -291,6 +322,28 @@ def detokenize_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return govern.detokenize(asked, PII, p.vault, F.col("mode"))
 
 
+def detokenize_after_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read through the shuffled form, where the hot tokens come from the summary of the last publish."""
+    df, vault = grown(spark, sf_dir)
+    return govern.detokenize(df, PII, replace(vault, bucketed=False))
+
+
+def detokenize_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read six large columns masked: the vault stays in its buckets, and the rows are shuffled once."""
+    df, vault = grown(spark, sf_dir)
+    return govern.detokenize(df, PII, vault, MASKED)
+
+
+def policy_unknown_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of a masked role over a table in which nine tenths of the e-mail cells hold one token that the vault lacks."""
+    df, vault = grown(spark, sf_dir)
+    broken = df.withColumn("email", F.when(_shares_email(), LOST_TOKEN).otherwise(F.col("email")))
+    govern.set_role(spark, "DEMO_CUSTOMER_SERVICE")
+    name = f"governed_{uuid.uuid4().hex[:12]}"
+    govern.create_governed_view(name, broken, PII, vault, DEMO_POLICY)
+    return spark.table(name)
+
+
 def _governed_view(spark: SparkSession, sf_dir: str) -> str:
     p = published(spark, sf_dir)
     name = f"governed_{uuid.uuid4().hex[:12]}"
@@ -498,6 +551,9 @@ QUERIES: dict[str, Query] = {
     "detokenize_redacted": _detokenize(REDACTED),
     "detokenize_by_mode": detokenize_by_mode,
     "detokenize_unknown": detokenize_unknown,
+    "detokenize_after_growth": detokenize_after_growth,
+    "detokenize_bucketed": detokenize_bucketed,
+    "policy_unknown_hot": policy_unknown_hot,
     "policy_auditor": _as_role("DEMO_AUDITOR"),
     "policy_admin": _as_role("SYSADMIN"),
     "policy_customer_service": _as_role("DEMO_CUSTOMER_SERVICE"),

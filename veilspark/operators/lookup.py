@@ -4,9 +4,10 @@ Three physical forms, chosen from measured sizes:
 
 * a slice within the broadcast limit is broadcast;
 * a larger one is shuffled, and the keys known to hold a large share of the cells (a bounded list)
-  are answered by a broadcast of just those rows;
-* rows that need no shuffled match (hot, NULL or blank cells) get a key that matches nothing and
-  differs per row, so they spread over all partitions and never pile up in one.
+  are answered by a broadcast of just those rows; a vault that is stored in buckets of its tokens' hashes is not
+  shuffled, only the rows that look something up;
+* rows that need no shuffled match (hot, NULL or blank cells, and tokens that a filter of the vault's tokens
+  rules out) get a key that matches nothing and differs per row, so they spread over all partitions and never pile up in one.
 
 The looked-up side is grouped by its key, unless the caller has checked that keys are unique. So a
 duplicate in the vault cannot multiply rows, and the optimizer knows the key is unique, which lets it
@@ -18,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.cells import tokenizable
@@ -57,13 +58,14 @@ def _size(text: str) -> int:
 
 @dataclass(frozen=True)
 class Slice:
-    """Measured size of one column's vault rows, and from which cell count on a key is hot."""
+    """Measured size of one column's vault rows, from which cell count on a key is hot, and the bits of its token filter (0: none)."""
 
     rows: int = 0
     bytes: int = 0
     cells: int = 0
     broadcast: bool = True
     hot_from: int | None = None
+    known_bits: int = 0
 
 
 def measure(frame: DataFrame, limits: LookupLimits = LookupLimits()) -> Mapping[str, Slice]:
@@ -108,6 +110,29 @@ def measure(frame: DataFrame, limits: LookupLimits = LookupLimits()) -> Mapping[
     return found
 
 
+def _has_bit(bits: Column, position: Column) -> Column:
+    """Whether a bitmap of `bitmap_construct_agg` holds a position, by way of one of its hex digits."""
+    byte = F.substr(bits, F.shiftright(position, 3).cast("int") + 1, F.lit(1))
+    low = position.bitwiseAND(F.lit(7))
+    digit = F.ascii(F.substr(F.hex(byte), F.when(low < 4, 2).otherwise(1), F.lit(1)))
+    value = digit - F.when(digit > 57, 55).otherwise(48)
+    return F.coalesce(F.getbit(value, low.bitwiseAND(F.lit(3)).cast("int")) == 1, F.lit(False))
+
+
+def token_place(token: Column, bits: int) -> Column:
+    """The bit of a token in a filter of so many bits."""
+    return F.pmod(F.xxhash64(token), F.lit(bits).cast("bigint"))
+
+
+def _hot_rows(side: DataFrame, hot: DataFrame, key: str, value: str) -> DataFrame:
+    """`(__hot_key, __hot)` of the tokens `hot`. Asked by token, those that `side` lacks are kept with NULL: they need no shuffle either."""
+    tokens = F.broadcast(hot.select(F.col("token").alias("__token")))
+    rows = side.join(tokens, F.col("token") == F.col("__token"), "left_semi").select(F.col(key).alias("__hot_key"), F.col(value).alias("__hot"))
+    if key == "token":
+        rows = hot.select(F.col("token").alias("__hot_key"), F.lit(None).cast("string").alias("__hot")).unionByName(rows)
+    return rows.groupBy("__hot_key").agg(F.max("__hot").alias("__hot"))
+
+
 def lookup(
     df: DataFrame,
     column: str,
@@ -118,11 +143,16 @@ def lookup(
     size: Slice,
     spread_by: Sequence[str],
     unique: bool = False,
+    hot: DataFrame | None = None,
+    known: DataFrame | None = None,
+    bucketed: bool = False,
 ) -> DataFrame:
     """`df` plus `out`: the `value` of the `side` row whose `key` equals `column`, else NULL.
 
     `unique` promises that no `key` occurs twice. A shuffled side is then joined as it is, which
-    saves its aggregation and leaves the join open to every adaptive rewrite.
+    saves its aggregation and leaves the join open to every adaptive rewrite. `hot` lists tokens that fill many cells
+    (else `n_cells` tells), `known` is the filter `(bucket, bits)` of the side's tokens, and `bucketed` says that the side is stored
+    in buckets of `token_hash`; the last two serve lookups by token.
     """
     cell = F.col(column).cast("string")
     if size.broadcast:
@@ -132,12 +162,20 @@ def lookup(
     columns = [*df.columns]
     no_match = ~F.coalesce(tokenizable(cell), F.lit(False))
     result = F.col("__cold")
-    if size.hot_from is not None:
-        hot = side.filter(F.col("n_cells") >= size.hot_from)
-        hot = hot.groupBy(F.col(key).alias("__hot_key")).agg(F.max(value).alias("__hot"))
-        df = df.join(F.broadcast(hot), cell == F.col("__hot_key"), "left")
-        no_match = no_match | F.col("__hot").isNotNull()
+    hot_rows = None
+    if hot is not None:
+        hot_rows = _hot_rows(side, hot, key, value)
+    elif size.hot_from is not None:
+        hot_rows = side.filter(F.col("n_cells") >= size.hot_from).groupBy(F.col(key).alias("__hot_key")).agg(F.max(value).alias("__hot"))
+    if hot_rows is not None:
+        df = df.join(F.broadcast(hot_rows), cell == F.col("__hot_key"), "left")
+        no_match = no_match | F.col("__hot_key").isNotNull()
         result = F.coalesce(F.col("__hot"), result)
+    if known is not None and size.known_bits and key == "token":
+        place = token_place(cell, size.known_bits)
+        bitmaps = known.groupBy(F.col("bucket").alias("__bucket")).agg(F.any_value("bits").alias("__bits"))
+        df = df.join(F.broadcast(bitmaps), F.bitmap_bucket_number(place) == F.col("__bucket"), "left")
+        no_match = no_match | ~_has_bit(F.col("__bits"), F.bitmap_bit_position(place))
     # Joined on (hash, key): hashes sort and compare as numbers, where tokens share long prefixes.
     df = df.withColumns(
         {
@@ -145,6 +183,13 @@ def lookup(
             "__probe_key": F.when(~no_match, cell),
         }
     )
+    if bucketed and key == "token":
+        cold = side.select(F.col("token_hash").alias("__hash"), F.col(key).alias("__key"), F.col(value).alias("__cold"))
+        if not unique:
+            cold = cold.groupBy("__hash", "__key").agg(F.max("__cold").alias("__cold"))
+        # Only the hash is a join key, so that the buckets are the partitions of the join.
+        match = (F.col("__probe") == F.col("__hash")) & F.coalesce(F.col("__probe_key") == F.col("__key"), F.lit(False))
+        return df.join(cold.hint("merge"), match, "left").select(*columns, result.alias(out))
     cold = side.select(F.xxhash64(key).alias("__hash"), F.col(key).alias("__key"), F.col(value).alias("__cold"))
     if not unique:
         # Shuffled as it is: few keys repeat, so a map-side aggregate would only sort for nothing.

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.functions.cells import long_cells, tokenizable, tokenizable_cells
+from veilspark.functions.cells import long_cells, text, tokenizable, tokenizable_cells
 from veilspark.functions.tokens import TokenKey, value_token
-from veilspark.operators.lookup import LookupLimits, Slice, lookup, lookup_few, measure
+from veilspark.operators.heavy import hot_tokens, merge, summarize
+from veilspark.operators.lookup import LookupLimits, Slice, lookup, lookup_few, measure, token_place
 from veilspark.spec import PiiSpec
 
 VALUE_SUFFIX = "__value"
@@ -116,13 +117,50 @@ def count_uses(vault: DataFrame, tokenized: DataFrame, spec: PiiSpec) -> DataFra
     return joined.select("column_name", "token", "value", F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
 
 
+#: Bits of a filter for a stored token, and of the largest filter: 8 MB, which is what a read broadcasts for a column at most.
+BITS_PER_TOKEN, MOST_BITS = 16, 1 << 26
+_BITMAP_BITS = 32768
+
+
+def with_filter_bits(slices: Mapping[str, Slice]) -> dict[str, Slice]:
+    """Sizes with the bits of a token filter for each slice that is too large to broadcast."""
+
+    def bits(s: Slice) -> int:
+        return 0 if s.broadcast else min(MOST_BITS, max(_BITMAP_BITS, 1 << (BITS_PER_TOKEN * s.rows - 1).bit_length()))
+
+    return {c: replace(s, known_bits=bits(s)) for c, s in slices.items()}
+
+
+def known_tokens_filter(vault: DataFrame, slices: Mapping[str, Slice]) -> DataFrame:
+    """`(column_name, n_bits, bucket, bits)`: a bitmap of the hashes of every large slice's tokens.
+
+    A token whose bit is missing is not in the vault. In a vault of more tokens than the largest filter has bits nearly every bit is
+    set, and the filter rules out little, but never a token that is there.
+    """
+    sized = {c: s.known_bits for c, s in slices.items() if s.known_bits}
+    if not sized:
+        return vault.sparkSession.createDataFrame([], "column_name string, n_bits bigint, bucket bigint, bits binary")
+    n_bits = F.create_map(*[F.lit(x) for c, bits in sized.items() for x in (c, bits)])[F.col("column_name")].cast("bigint")
+    place = F.pmod(F.xxhash64("token"), F.col("n_bits"))
+    places = vault.select("column_name", n_bits.alias("n_bits"), "token").filter("n_bits IS NOT NULL")
+    places = places.select("column_name", "n_bits", F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("position"))
+    return places.groupBy("column_name", "n_bits", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+
+
 @dataclass(frozen=True)
 class Vault:
-    """A stored vault and its measured slice sizes. `unique` says `vault_duplicates` found none."""
+    """A stored vault and its measured slice sizes. `unique` says `vault_duplicates` found none.
+
+    `hot` is `(column_name, token)`, a short list of tokens that fill many cells; `known` is `known_tokens_filter`; `bucketed`
+    says that the table is stored in buckets of `token_hash`.
+    """
 
     frame: DataFrame
     slices: Mapping[str, Slice]
     unique: bool = False
+    hot: DataFrame | None = None
+    known: DataFrame | None = None
+    bucketed: bool = False
 
     @classmethod
     def open(cls, frame: DataFrame, limits: LookupLimits = LookupLimits(), unique: bool = False) -> Vault:
@@ -133,13 +171,20 @@ class Vault:
         return cls(frame, measure(frame, limits), unique)
 
     @classmethod
-    def stored(cls, spark: SparkSession, table: str) -> Vault:
-        """A vault table that `save_slices` was called for, without a scan."""
+    def stored(cls, spark: SparkSession, table: str, limits: LookupLimits = LookupLimits()) -> Vault:
+        """A vault table that `save_slices` was called for, without a scan of it, with what publishing keeps next to it."""
         found = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
         if SLICES_PROPERTY not in found:
             raise ValueError(f"{table} was not published as a vault; use Vault.open")
         slices = {c: Slice(**sizes) for c, sizes in json.loads(found[SLICES_PROPERTY]).items()}
-        return cls(spark.table(table), slices, unique=True)
+        frame = spark.table(table)
+        known, hot = None, None
+        if spark.catalog.tableExists(known_table(table)):
+            known = spark.table(known_table(table))
+            known = known.filter(F.col("publish_no") == known.agg(F.max("publish_no")).scalar())
+        if spark.catalog.tableExists(heavy_table(table)):
+            hot = _stored_hot(spark, table, frame, limits)
+        return cls(frame, slices, found.get(UNIQUE_PROPERTY, "true") == "true", hot, known, "token_hash" in frame.columns)
 
     def slice(self, column: str) -> DataFrame:
         return self.frame.filter(F.col("column_name") == column)
@@ -148,11 +193,89 @@ class Vault:
         """A column that was not measured has an unknown size, and is not broadcast."""
         return self.slices.get(column, Slice(broadcast=False))
 
+    def find(self, df: DataFrame, column: str, out: str, key: str, value: str, spread_by: Sequence[str], unique: bool) -> DataFrame:
+        """`lookup` of the cells of `column` in its slice, with all that is known of it."""
+        return self.find_in(df, column, column, out, key, value, spread_by, unique)
+
+    def find_in(self, df: DataFrame, name: str, column: str, out: str, key: str, value: str, spread_by: Sequence[str], unique: bool) -> DataFrame:
+        """`find` for cells of `name` that are in the column `column` of `df`."""
+        hot = self.hot.filter(F.col("column_name") == name) if self.hot is not None else None
+        known = self.known.filter(F.col("column_name") == name) if self.known is not None else None
+        return lookup(df, column, out, self.slice(name), key, value, self.size(name), spread_by, unique, hot, known, self.bucketed)
+
+
+UNIQUE_PROPERTY = "veilspark.unique"
+
+
+def is_unique(spark: SparkSession, table: str) -> bool:
+    """Whether it was checked that the vault table holds no token or value twice."""
+    found = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    return found.get(UNIQUE_PROPERTY, "true") == "true"
+
 
-def save_slices(spark: SparkSession, table: str, slices: Mapping[str, Slice]) -> None:
-    """Keep the sizes of a checked vault table with it. To be repeated whenever the table has grown."""
+def heavy_table(table: str) -> str:
+    """Where the summaries of tables tokenized with a vault are kept: `(publish_no, table_name, column_name, n_cells, sketch)`."""
+    return f"{table}__heavy"
+
+
+def known_table(table: str) -> str:
+    return f"{table}__known"
+
+
+def _next_publish(spark: SparkSession, table: str) -> int:
+    if not spark.catalog.tableExists(table):
+        return 1
+    return (spark.table(table).agg(F.max("publish_no")).first()[0] or 0) + 1
+
+
+def save_summary(spark: SparkSession, vault_table: str, name: str, tokenized: DataFrame, spec: PiiSpec) -> None:
+    """Keep which tokens fill many cells of the table `name`, in place of what was kept of it before."""
+    target = heavy_table(vault_table)
+    rows = summarize(tokenized, spec).select(
+        F.lit(_next_publish(spark, target)).cast("bigint").alias("publish_no"), F.lit(name).alias("table_name"), "column_name", "n_cells", "sketch"
+    )
+    rows.coalesce(1).write.mode("append").format("parquet").saveAsTable(target)
+
+
+def save_known(spark: SparkSession, vault_table: str, vault: DataFrame, added: DataFrame | None, slices: Mapping[str, Slice]) -> None:
+    """Keep the token filter of a vault. If its size stays, the filter of the rows `added` is merged into the last one; else it is built anew."""
+    target = known_table(vault_table)
+    if not spark.catalog.tableExists(target) and not any(s.known_bits for s in slices.values()):
+        return
+    number, made = _next_publish(spark, target), None
+    if number > 1 and added is not None:
+        old = spark.table(target).filter(F.col("publish_no") == number - 1)
+        sizes = {r["column_name"]: r["n_bits"] for r in old.select("column_name", "n_bits").distinct().collect()}
+        if sizes == {c: s.known_bits for c, s in slices.items() if s.known_bits}:
+            both = old.drop("publish_no").unionByName(known_tokens_filter(added, slices))
+            made = both.groupBy("column_name", "n_bits", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    made = known_tokens_filter(vault, slices) if made is None else made
+    made.withColumn("publish_no", F.lit(number).cast("bigint")).write.mode("append").format("parquet").saveAsTable(target)
+
+
+def _stored_hot(spark: SparkSession, table: str, vault: DataFrame, limits: LookupLimits) -> DataFrame:
+    """`(column_name, token)` by the merged summaries of all tables: per column fewer than there are shuffle partitions, and what fits a broadcast."""
+    heavy = spark.table(heavy_table(table))
+    last = heavy.groupBy("table_name").agg(F.max("publish_no").alias("publish_no"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = hot_tokens(merge(heavy.join(F.broadcast(last), ["table_name", "publish_no"])), 1 / partitions, limits.hot_cells)
+    width = F.coalesce(F.octet_length("value"), F.lit(0)) + F.octet_length(found["token"])
+    sized = found.join(vault.select("column_name", "token", "value"), ["column_name", "token"], "left")
+    rows = sized.select("column_name", "token", "n_cells", width.alias("width")).orderBy(F.desc("n_cells"), "token").collect()
+    kept, room = [], max(limits.bytes_for(spark), 1 << 20)
+    for row in rows:
+        room -= row["width"]
+        if room < 0:
+            break
+        kept.append((row["column_name"], row["token"]))
+    return spark.createDataFrame(kept, "column_name string, token string")
+
+
+def save_slices(spark: SparkSession, table: str, slices: Mapping[str, Slice], unique: bool = True) -> None:
+    """Keep the sizes of a vault table with it, and whether it was checked that nothing is in it twice. To be repeated whenever it has grown."""
     text = json.dumps({c: asdict(s) for c, s in slices.items()}).replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{SLICES_PROPERTY}' = '{text}')")
+    flag = "true" if unique else "false"
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{SLICES_PROPERTY}' = '{text}', '{UNIQUE_PROPERTY}' = '{flag}')")
 
 
 def _shuffled_first(columns: Sequence[str], vault: Vault) -> list[str]:
@@ -177,22 +300,49 @@ def resolve(
     stored table small enough to broadcast.
     """
     unique = vault.unique and not prunable
+    large = [c for c in columns if not vault.size(c).broadcast]
+    together = large if vault.bucketed and len(large) > 1 and not prunable and not few else []
+    if together:
+        df = _resolve_together(df, together, vault, spread_by, unique)
     for c in _shuffled_first(columns, vault):
         found = c + VALUE_SUFFIX
-        side, size = vault.slice(c), vault.size(c)
-        if few and not size.broadcast:
-            df = lookup_few(df, c, found, side, "token", "value")
-        else:
-            df = lookup(df, c, found, side, "token", "value", size, spread_by, unique)
+        if few and c in large:
+            df = lookup_few(df, c, found, vault.slice(c), "token", "value")
+        elif c not in together:
+            df = vault.find(df, c, found, "token", "value", spread_by, unique)
         if render:
             df = df.withColumns(render(c, F.col(c), F.col(found))).drop(found)
     return df
 
 
+def _resolve_together(df: DataFrame, columns: Sequence[str], vault: Vault, key: Sequence[str], unique: bool) -> DataFrame:
+    """`df` plus the values of several large columns, for one shuffle of its rows.
+
+    Only `(key, token)` of each column is shuffled to the buckets of the vault. What is found comes back as one map
+    per key, from which every row takes its cells, so a key that is not unique gives no wrong cell.
+    """
+    names = [f"__k{i}" for i in range(len(key))]
+    keys = [F.col(k).alias(name) for k, name in zip(key, names, strict=True)]
+
+    def cell(column: str) -> Column:
+        return F.concat(F.lit(f"{column}|"), text(column))
+
+    found: DataFrame | None = None
+    for c in columns:
+        cells = df.select(*keys, text(c).alias("__token")).filter(tokenizable(F.col("__token")))
+        hits = vault.find_in(cells, c, "__token", "__value", "token", "value", names, unique).filter("__value IS NOT NULL")
+        part = hits.select(*names, F.struct(F.concat(F.lit(f"{c}|"), "__token").alias("token"), F.col("__value").alias("value")).alias("cell"))
+        found = part if found is None else found.unionByName(part)
+    values = found.groupBy(*names).agg(F.map_from_entries(F.collect_set("cell")).alias("__values"))
+    same = [F.col(k).eqNullSafe(F.col(name)) for k, name in zip(key, names, strict=True)]
+    joined = df.join(values, same, "left")
+    return joined.withColumns({c + VALUE_SUFFIX: F.try_element_at("__values", cell(c)) for c in columns}).drop(*names, "__values")
+
+
 def find_tokens(df: DataFrame, columns: Sequence[str], vault: Vault, spread_by: Sequence[str]) -> DataFrame:
     """`df` plus `<column>_token`, the vault token of each value, NULL if there is none."""
     for c in _shuffled_first(columns, vault):
-        df = lookup(df, c, f"{c}_token", vault.slice(c), "value", "token", vault.size(c), spread_by, vault.unique)
+        df = vault.find(df, c, f"{c}_token", "value", "token", spread_by, vault.unique)
     return df
 
 

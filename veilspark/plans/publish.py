@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.cells import text, tokenizable
 from veilspark.functions.tokens import TokenKey
-from veilspark.operators.lookup import measure
+from veilspark.operators.lookup import LookupLimits, measure
 from veilspark.operators.tokenize import tokenize
 from veilspark.operators.vault import (
     VAULT_OPTIONS,
     addition_conflicts,
     build_vault,
+    is_unique,
+    save_known,
     save_slices,
+    save_summary,
     unresolved,
     vault_additions,
+    vault_duplicates,
+    with_filter_bits,
 )
+from veilspark.sources.store import RunStore
 from veilspark.spec import DEFAULT_BATCH_SIZE, PiiSpec
 
 
@@ -101,21 +107,46 @@ def check_resolvable(version: DataFrame, spec: PiiSpec, vault: DataFrame) -> Non
         raise PublishError(f"cells that are no token of the vault: {counts}")
 
 
-def publish_vault(source: DataFrame, spec: PiiSpec, key: TokenKey, table: str) -> DataFrame:
+def publish_vault(
+    source: DataFrame, spec: PiiSpec, key: TokenKey, table: str, buckets: int = 0, limits: LookupLimits = LookupLimits()
+) -> DataFrame:
     """Append the values `table` lacks, checked before, and keep its measured sizes with it.
 
-    Run again after a failure, it appends only what is missing.
+    Run again after a failure, it appends only what is missing. With `buckets`, which is fixed when the table is made, it is stored in
+    buckets of its tokens' hashes, and large reads don't shuffle it; take at least as many as there are shuffle partitions.
     """
     spark = source.sparkSession
     known = spark.table(table) if spark.catalog.tableExists(table) else None
     rows = build_vault(source, spec, key) if known is None else vault_additions(source, spec, key, known)
-    if not addition_conflicts(rows, known).isEmpty():  # before the append, so that a conflict leaves the vault as it is
+    with RunStore(spark) as store:
+        added = store.write(rows, "additions")  # the source is read once, and what is checked is what is appended
+        append_to_vault(added, table, buckets, limits)
+    return spark.table(table).select("column_name", "token", "value", "n_cells")
+
+
+def append_to_vault(added: DataFrame, table: str, buckets: int = 0, limits: LookupLimits = LookupLimits()) -> None:
+    """Append the stored vault rows `added`, after a check that nothing would be in `table` twice, and measure it anew.
+
+    Should another run append at the same time, the rows are more than was there and was added; then the whole vault is checked, and
+    the result is kept with it: large reads of a vault that is not `unique` group it by token first.
+    """
+    spark = added.sparkSession
+    known = spark.table(table) if spark.catalog.tableExists(table) else None
+    expected = added.count() + (known.count() if known is not None else 0)
+    if not addition_conflicts(added, known).isEmpty():  # before the append, so that a conflict leaves the vault as it is
         raise PublishError(f"{table} would hold a token or value twice")
-    writer = rows.write.mode("append").format("parquet").options(**VAULT_OPTIONS)
+    checked = known is None or is_unique(spark, table)
+    writer = added.write
+    if buckets:
+        hashed = added.withColumn("token_hash", F.xxhash64("token"))
+        writer = hashed.repartition(buckets, "token_hash").write.bucketBy(buckets, "token_hash").sortBy("token_hash")
+    writer = writer.mode("append").format("parquet").options(**VAULT_OPTIONS)
     writer.partitionBy("column_name").saveAsTable(table)
-    vault = spark.table(table).select("column_name", "token", "value", "n_cells")
-    save_slices(spark, table, measure(vault))
-    return vault
+    vault = spark.table(table)
+    slices = with_filter_bits(measure(vault, limits))
+    unique = checked if sum(s.rows for s in slices.values()) == expected else vault_duplicates(vault).isEmpty()
+    save_known(spark, table, vault, added, slices)
+    save_slices(spark, table, slices, unique)
 
 
 def tokenize_and_publish(
@@ -125,6 +156,8 @@ def tokenize_and_publish(
     table: str,
     vault_table: str,
     batch_size: int = DEFAULT_BATCH_SIZE,
+    buckets: int = 0,
+    limits: LookupLimits = LookupLimits(),
 ) -> PublishReport:
     """Tokenize `source`, store the vault, write and check a version of `table`, move the view.
 
@@ -133,7 +166,7 @@ def tokenize_and_publish(
     version and raises; the view is moved last.
     """
     spark = source.sparkSession
-    vault = publish_vault(source, spec, key, vault_table)
+    vault = publish_vault(source, spec, key, vault_table, buckets, limits)
     version = write_version(tokenize(source, spec, key), table)
     try:
         written = spark.table(version)
@@ -142,6 +175,7 @@ def tokenize_and_publish(
     except Exception:
         drop_version(spark, version)
         raise
+    save_summary(spark, vault_table, table, written, spec)
     point_view(spark, table, version)
     filled = [counts[f"{c}__filled"] for c in spec.columns]
     return PublishReport(version, counts["n_rows"], sum(filled), sum(-(-n // batch_size) for n in filled))
