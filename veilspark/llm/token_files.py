@@ -23,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,75 +31,85 @@ from pyspark.sql import functions as F
 #: Sizes in bytes. A row group is the unit of skipping by file footer, a page that of the page index.
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
-#: Texts go to the tokenizer in portions of about so many characters.
-_PORTION = 1 << 19
+#: Texts go to the tokenizer in portions of about so many bytes.
+_PORTION = 4 << 20
+#: Texts that are not cut at their spaces: with other white space than single spaces and line ends between words.
+_ODD = "^ | $|  |\n\n| \n|\n |[\t\x0b-\r\x1c-\x1f\x00\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Bytes of words whose ids a worker keeps; beyond, the older half goes. With the ids, about three times as much.
+_KEPT = 24 << 20
 
 
-def _portions(texts: list[str]) -> Iterator[list[str]]:
-    portion, size = [], 0
-    for text in texts:
-        portion.append(text)
-        size += len(text)
-        if size >= _PORTION:
-            yield portion
-            portion, size = [], 0
-    if portion:
-        yield portion
-
-
-#: White space that texts are not cut at: any but single spaces and line ends between words. NUL marks the cuts.
-_ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x00\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_DOUBLE = ("  ", "\n\n", " \n", "\n ")
-#: Characters of words whose ids a worker keeps: with the ids, some 30 MB.
-_KEPT = 1 << 20
-
-
-def _cut(text: str) -> list[str]:
-    """Words with the space before them, and line ends; or the whole text, if it has other white space."""
-    if text[:1] == " " or text[-1:] == " " or any(d in text for d in _DOUBLE) or _ODD_SPACE.search(text):
-        return [text]
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+def _portions(texts: pa.StringArray) -> Iterator[pa.StringArray]:
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + _PORTION, "right")))
+        yield texts.slice(at, end - at)
+        at = end
 
 
 class _Encoder:
     """Ids of texts by a byte-level tokenizer, which is asked once for each distinct word.
 
-    Its pre-tokens never reach past a single space or line end between words, so a text's ids are those of
-    its words, each with the space before it, in order. A text with other white space is encoded in one piece, and so is
+    Its pre-tokens never reach past a single space between words, so a text's ids are those of its words, each with the
+    space before it, in order; a line end is part of the word it is in. A text with other white space is encoded in one piece, and so is
     one that holds an added token such as <|endoftext|>, which gets its own id as in the library's plain encoding.
+    Words are cut, numbered and compared as Arrow arrays; only words that are new become Python strings.
     """
 
     def __init__(self, model, end_id: int) -> None:
         self.model, self.end_id = model, end_id
-        self.added = [token.content for token in model.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
-        self.number, self.chars = {None: 0, "": 1}, 0  # None stands for the end of a text
-        self.ids, self.starts, self.sizes = np.array([self.end_id], np.int32), np.array([0, 0]), np.array([1, 0])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        added = [re.escape(token.content) for token in model.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_ODD, *added])
+        self.words, self.ids, self.starts = pa.array([], pa.string()), np.array([], np.int32), np.array([0])
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and how many each has."""
+        ids, sizes = [np.array([], np.int32)], [np.array([], np.int64)]
+        for at in range(0, len(words), 10_000):  # the tokenizer's own results are far larger than the ids
+            lists = [e.ids for e in self.model.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, words: pa.StringArray) -> np.ndarray:
+        """Where the distinct `words`, each after a space, are among the words that are kept."""
+        if self.words.nbytes > _KEPT:
+            half = len(self.words) // 2
+            first = self.starts[half]
+            self.words, self.ids, self.starts = pa.concat_arrays([self.words.slice(half)]), self.ids[first:].copy(), self.starts[half:] - first
+        where = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(where))
+        if len(new):
+            ids, sizes = self._encoded(pc.binary_join_element_wise(" ", new, "").to_pylist())
+            known = len(self.words)
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids, self.starts = np.concatenate((self.ids, ids)), np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+            where = where.to_numpy(zero_copy_only=False)
+            where[np.isnan(where)] = np.arange(known, len(self.words))
+            return where.astype(np.int64)
+        return where.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's ids end in it."""
-        if self.chars > _KEPT:
-            self.clear()
-        words: list[str | None] = []
-        for text in texts:
-            words += [text] if any(token in text for token in self.added) else _cut(text)
-            words.append(None)
-        new = list(set(words) - self.number.keys())
-        if new:
-            lists = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
-            self.sizes = np.concatenate((self.sizes, sizes))
-            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))))
-            self.chars += sum(map(len, new))
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[which]
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        coded = cut.values.dictionary_encode()
+        place = self._learn(coded.dictionary)[coded.indices.to_numpy()]
+        starts, sizes = self.starts[place], self.starts[place + 1] - self.starts[place]
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        # The first word of a text has no space before it, and an odd text is encoded whole in its place.
+        first = offsets[:-1]
+        own, own_sizes = self._encoded(pc.if_else(pa.array(odd), texts, cut.values.take(pa.array(first))).to_pylist())
+        starts[first] = len(self.ids) + 1 + np.cumsum(own_sizes) - own_sizes
+        sizes[first] = own_sizes
+        # Every text ends with the end id.
+        starts, sizes = np.insert(starts, offsets[1:], len(self.ids)), np.insert(sizes, offsets[1:], 1)
         ends = np.cumsum(sizes)
-        places = np.arange(int(ends[-1])) + np.repeat(self.starts[which] - ends + sizes, sizes)
-        return self.ids[places], ends[which == 0]
+        places = np.arange(int(ends[-1])) + np.repeat(starts - ends + sizes, sizes)
+        pool = np.concatenate((self.ids, np.array([self.end_id], np.int32), own))
+        return pool[places], ends[offsets[1:] + np.arange(len(texts))]
 
 
 _encoders: dict[tuple[str, int], _Encoder] = {}
@@ -131,7 +142,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataFra
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
-            for texts in _portions(batch.column(1).to_pylist()):
+            for texts in _portions(batch.column(1)):
                 ids, ends = encoder.encode(texts)
                 sizes = np.diff(ends, prepend=0)
                 offsets = np.concatenate(([0], ends)).astype(np.int32)
@@ -173,14 +184,14 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> Data
     """(doc_id, part, start, n_tokens, ids) of the files; select without `ids` to read metadata only.
 
     `start` counts the ids of all documents before this one. It needs one number per part, so only
-    three small columns are read for it, and the offsets have as many rows as there are parts.
+    three small columns are read for it, and the offsets, a row for each part, go to the files and not the ids to them.
     """
     files = spark.read.schema(_SCHEMA.format(id_type)).parquet(path)
     totals = files.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     start = (F.col("offset") + F.col("before")).alias("start")
-    return files.join(offsets, "part").select("doc_id", "part", start, "n_tokens", "ids")
+    return files.join(F.broadcast(offsets), "part").select("doc_id", "part", start, "n_tokens", "ids")
 
 
 def read_documents(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
