@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Sequence
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -30,6 +32,11 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
+def worker_state() -> dict:
+    """A dict that lives as long as the Python worker. Task code is shipped by value, so module globals start anew in every task."""
+    return sys.modules.setdefault("veilspark_worker_state", ModuleType("veilspark_worker_state")).__dict__
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import worker_state
+
 #: Sizes in bytes. A row group is the unit of skipping by file footer, a page that of the page index.
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
@@ -112,19 +114,17 @@ class _Encoder:
         return pool[places], ends[offsets[1:] + np.arange(len(texts))]
 
 
-_encoders: dict[tuple[str, int], _Encoder] = {}
-
-
 def _encoder(vocabulary: str, end_id: int) -> _Encoder:
     """This worker's encoder: it keeps its words from task to task."""
+    encoders = worker_state().setdefault("encoders", {})
     key = (hashlib.sha256(vocabulary.encode()).hexdigest(), end_id)
-    if key not in _encoders:
+    if key not in encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_str(vocabulary)
-        _encoders[key] = _Encoder(model, end_id)
-    return _encoders[key]
+        encoders[key] = _Encoder(model, end_id)
+    return encoders[key]
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataFrame:
