@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from entry_queries import DEMO_POLICY, DEMO_SECRET, LOST_TOKEN, PAGE_OFFSET, PAGE_SIZE, SHARED_EMAIL
+from entry_queries import DEEP_OFFSET, DEMO_POLICY, DEMO_SECRET, LOST_TOKEN, PAGE_OFFSET, PAGE_SIZE, SHARED_EMAIL
 from veilspark.functions.tokens import padded_key
-from veilspark.sources.customers import ADDRESSES, BIRTH_DATES, DEFAULT_AS_OF
+from veilspark.sources.customers import ADDRESSES, BIRTH_DATES, DEFAULT_AS_OF, FIRST_NAMES, LANGUAGES, LAST_NAMES, LOYALTY
 from veilspark.spec import DEFAULT_BATCH_SIZE
 
 COLUMNS = ("first_name", "last_name", "email", "phone_number", "address", "date_of_birth")
@@ -37,8 +37,7 @@ spend AS (
   FROM orders GROUP BY o_custkey),
 base AS (
   SELECT c_custkey AS id, n, spent, first_ts, last_ts,
-         CASE c_custkey % 4 WHEN 0 THEN 'Jonathan' WHEN 1 THEN 'Jessica' WHEN 2 THEN 'Michael' ELSE 'Stephanie' END AS fn,
-         CASE c_custkey % 4 WHEN 0 THEN 'Anderson' WHEN 1 THEN 'Williams' WHEN 2 THEN 'Johnson' ELSE 'Rodgers' END AS ln
+         {choose("c_custkey % 4", FIRST_NAMES)} AS fn, {choose("c_custkey % 4", LAST_NAMES)} AS ln
   FROM customer LEFT JOIN spend ON c_custkey = o_custkey),
 profile AS (
   SELECT
@@ -58,8 +57,8 @@ profile AS (
     last_ts AS last_login,
     CAST(coalesce(n, 0) AS bigint) AS total_purchases,
     CAST(coalesce(spent, 0) AS decimal(18,2)) AS total_spent,
-    CASE id % 4 WHEN 0 THEN 'Silver' WHEN 1 THEN 'Gold' WHEN 2 THEN 'Platinum' ELSE 'Diamond' END AS loyalty_status,
-    CASE WHEN id % 2 = 0 THEN 'English' ELSE 'Spanish' END AS preferred_language,
+    {choose("id % 4", LOYALTY)} AS loyalty_status,
+    {choose("id % 2", LANGUAGES)} AS preferred_language,
     id % 2 = 0 AS consent_marketing,
     id % 3 = 0 AS consent_data_sharing,
     first_ts AS created_at,
@@ -170,16 +169,16 @@ def generated() -> str:
       SELECT id, id - 1 AS k, (SELECT greatest(5, length(CAST(count(*) AS varchar))) FROM customer) AS width
       FROM range(1, (SELECT count(*) + 1 FROM customer)) t(id)),
     named AS (
-      SELECT *, {choose("k % 4", ("Jonathan", "Jessica", "Michael", "Stephanie"))} AS fn,
-             {choose("k % 4", ("Anderson", "Williams", "Johnson", "Rodgers"))} AS ln FROM numbered)
+      SELECT *, {choose("k % 4", FIRST_NAMES)} AS fn,
+             {choose("k % 4", LAST_NAMES)} AS ln FROM numbered)
     SELECT 'CUST' || lpad(CAST(id AS varchar), CAST(width AS integer), '0') AS customer_id,
       fn AS first_name, ln AS last_name, lower(fn) || '.' || lower(ln) || '@example.com' AS email,
       '+1-555-010' || CAST(k % 10 AS varchar) AS phone_number, {choose("k % 10", ADDRESSES)} AS address,
       {choose("k % 10", BIRTH_DATES)} AS date_of_birth,
       {day.format("2018-01-01")} AS signup_date, {day.format("2023-01-01")} AS last_login,
       id * 5 AS total_purchases, CAST(id * 50 AS decimal(18,2)) AS total_spent,
-      {choose("k % 4", ("Silver", "Gold", "Platinum", "Diamond"))} AS loyalty_status,
-      {choose("k % 2", ("English", "Spanish"))} AS preferred_language,
+      {choose("k % 4", LOYALTY)} AS loyalty_status,
+      {choose("k % 2", LANGUAGES)} AS preferred_language,
       k % 2 = 0 AS consent_marketing, k % 3 = 0 AS consent_data_sharing,
       CAST('{DEFAULT_AS_OF}' AS timestamp) AS created_at, CAST('{DEFAULT_AS_OF}' AS timestamp) AS updated_at
     FROM named"""
@@ -255,6 +254,21 @@ def upserted() -> str:
     FROM target t FULL JOIN source s ON t.customer_id = s.customer_id"""
 
 
+def merged_parts() -> str:
+    rest = ", ".join(f"{cell(c)} AS {c}_token" for c in COLUMNS if c != "email")
+    chosen = "CAST(substr(customer_id, 5) AS bigint) % 50 = 7 AND email IS NOT NULL"
+    return f"""WITH {PROFILE} SELECT customer_id, CASE WHEN {chosen} THEN {mock("email")} ELSE {cell("email")} END AS email_token, {rest}
+      FROM profile"""
+
+
+def audited() -> str:
+    roles = ", ".join(f"('{r}', '{m}')" for r, m in DEMO_POLICY.roles.items())
+    return f"""WITH policy(role, mode) AS (VALUES {roles}, ('PUBLIC', 'TOKEN')),
+      names(column_name) AS (VALUES {', '.join(f"('{c}')" for c in COLUMNS)}),
+      total AS (SELECT count(*) AS n FROM customer)
+      SELECT role, column_name, mode, n AS n_cells, n AS n_expected, true AS matches FROM policy, names, total"""
+
+
 def duplicates() -> str:
     return f"""WITH {PROFILE},
     weak AS (SELECT DISTINCT column_name, value, 'TOKEN_' || substr(md5(value), 1, 3) AS token
@@ -299,6 +313,27 @@ def grown_masked(email: str | None = None) -> str:
     return f"WITH {GROWN} SELECT customer_id, {cells}, {TAIL} FROM grown"
 
 
+def client_read() -> str:
+    """Masked cells where the client knows the token and can reach it, else the token."""
+
+    def one(c: str) -> str:
+        token = f"CASE WHEN consent_data_sharing THEN 'lost_' ELSE 'hex_' END || lower(hex(encode({c})))"
+        known = "false" if c == "phone_number" else "NOT consent_data_sharing"
+        return f"CASE WHEN trim({c}) <> '' THEN CASE WHEN {known} THEN {mask(c)} ELSE {token} END ELSE {c} END AS {c}"
+
+    return f"WITH {PROFILE} SELECT customer_id, {', '.join(map(one, COLUMNS))}, {TAIL} FROM profile"
+
+
+def client_status() -> str:
+    cells = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {c} AS value, consent_data_sharing AS lost FROM profile WHERE trim({c}) <> ''" for c in COLUMNS
+    )
+    # A call holds 25 tokens of one column, sorted by nothing else: one that holds a phone number fails as a whole.
+    status = "CASE WHEN column_name = 'phone_number' THEN 'failed' WHEN lost THEN 'unknown' ELSE 'found' END"
+    return f"""WITH {PROFILE} SELECT column_name, {status} AS status, count(DISTINCT value || CAST(lost AS varchar)) AS n_tokens, count(*) AS n_cells
+      FROM ({cells}) GROUP BY 1, 2"""
+
+
 def coverage() -> str:
     def one(c: str) -> str:
         wanted = f"coalesce(trim({c}) <> '', false)"
@@ -391,6 +426,11 @@ ORACLES: dict[str, str] = {
     "snapshot_row_number": f"WITH {SNAPSHOT} SELECT rn, {ALL} FROM snapshot",
     "batch_plan": batch_plan(),
     "key_page": f"WITH {PROFILE} SELECT customer_id FROM profile ORDER BY customer_id LIMIT {PAGE_SIZE} OFFSET {PAGE_OFFSET}",
+    "key_page_deep": f"WITH {PROFILE} SELECT customer_id FROM profile ORDER BY customer_id LIMIT {PAGE_SIZE} OFFSET {DEEP_OFFSET}",
+    "row_dicts": f"""WITH {PROFILE} SELECT '{{"customer_id":"' || customer_id || '","loyalty_status":"' || loyalty_status || '","total_purchases":'
+      || CAST(total_purchases AS varchar) || '}}' AS row FROM (SELECT * FROM profile ORDER BY customer_id LIMIT 100)""",
+    "empty_run": """SELECT count(*) AS n_published, count(*) AS n_rows, count(*) AS n_tokens, count(*) AS n_calls
+      FROM customer WHERE c_custkey IS NULL""",
     "tokenize_hmac": SELECT_TOKENIZED,
     "token_staging": f"WITH {SNAPSHOT} SELECT rn, {', '.join(f'{cell(c)} AS {c}_token' for c in COLUMNS)} FROM snapshot",
     "token_merge": SELECT_TOKENIZED,
@@ -402,10 +442,14 @@ ORACLES: dict[str, str] = {
     "vault_assigned_tokens": SELECT_TOKENIZED,
     "vault_client_read": f"""WITH {PROFILE} SELECT column_name, 'hex_' || lower(hex(encode(value))) AS token, value,
       count(*) AS n_cells FROM ({long("profile")}) WHERE trim(value) <> '' GROUP BY column_name, value""",
+    "publish_via_client": SELECT_TOKENIZED,
+    "detokenize_via_client": client_read(),
+    "client_read_status": client_status(),
     "parse_token_reply": replies(),
     "vault_build": f"WITH {PROFILE} {vault('profile')}",
     "vault_refresh": refresh(),
     "vault_upsert": upserted(),
+    "vault_merge_partial": merged_parts(),
     "vault_duplicates": duplicates(),
     "detokenize_plain": read("PLAIN_TEXT"),
     "detokenize_masked": read("MASKED"),
@@ -420,7 +464,9 @@ ORACLES: dict[str, str] = {
     "policy_customer_service": read("MASKED"),
     "policy_marketing": redacted_view(),
     "policy_other": SELECT_TOKENIZED,
-    "policy_removed": SELECT_TOKENIZED,
+    "policy_removed": f"""WITH {PROFILE} SELECT 'before' AS state, true AS view_exists, count(*) AS n_rows,
+      count(*) FILTER (WHERE email LIKE '%@%') AS n_plain FROM profile
+      UNION ALL SELECT 'after', false, count(*), 0 FROM profile""",
     "policy_filter": FILTERED,
     "mask_alias": f"""WITH {TOKENIZED} SELECT column_name, n_cells, value AS plain, {mask("value")} AS by_role,
       {mask("value")} AS by_alias, '*REDACTED*' AS redacted FROM vault""",
@@ -431,7 +477,12 @@ ORACLES: dict[str, str] = {
     "tokenization_summary": summary(),
     "tokenization_status": "SELECT 'Tokenization Complete' AS status, count(*) AS total_records FROM customer",
     "access_matrix": matrix(),
+    "access_audit": audited(),
     "access_violations": violations(),
+    "tokenization_status_incomplete": f"""WITH {TOKENIZED} SELECT CASE WHEN count(*) FILTER (WHERE column_name = 'email' AND length(value) % 3 = 0) > 0
+      THEN 'Tokenization Incomplete' ELSE 'Tokenization Complete' END AS status, (SELECT count(*) FROM customer) AS total_records FROM vault""",
+    "row_count_mismatch": f"""WITH {PROFILE} SELECT old_rows, new_rows, old_rows = new_rows AS matches FROM
+      (SELECT count(*) AS old_rows, count(*) FILTER (WHERE {" OR ".join(f"{c} IS NOT NULL" for c in COLUMNS)}) AS new_rows FROM profile)""",
     "table_report": f"""WITH {TOKENIZED}
       SELECT 'veil_customer_data' AS table_name, true AS table_exists, count(*) AS n_rows FROM tokenized
       UNION ALL SELECT 'veil_vault', true, count(*) FROM vault

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -9,19 +10,19 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entry_clients import HexClient, HmacClient, PhonelessClient
 from veilspark.functions.cells import rows_with_pii, tokenizable_cells
 from veilspark.functions.replies import token_in_reply
 from veilspark.functions.tokens import TokenKey, mock_token
 from veilspark.operators import audit, govern, insights, paging
 from veilspark.operators import tokenize as tok
 from veilspark.operators import vault as vaults
-from veilspark.operators.assign import assign_tokens, read_values, tokenize_via_vault
+from veilspark.operators.assign import assign_tokens, detokenize_via_client, read_values, status_counts, tokenize_via_vault
 from veilspark.operators.lookup import LookupLimits
-from veilspark.operators.merge import upsert
+from veilspark.operators.merge import PART, merge_parts, upsert, write_parts
 from veilspark.operators.numbering import batch_plan, number_rows
 from veilspark.plans import publish
 from veilspark.sources import customers
-from veilspark.sources.client import HexClient, HmacClient
 from veilspark.sources.customers import CUSTOMER_PII as PII
 from veilspark.sources.store import RunStore, input_fingerprint
 from veilspark.spec import MASKED, MODES, PLAIN_TEXT, REDACTED, PiiSpec, Policy
@@ -34,6 +35,7 @@ DEMO_POLICY = Policy.for_prefix("demo")
 EVENT_PII = PiiSpec(columns=("user_id",), key=("event_id",))
 SNAPSHOT_KEYS = ["customer_id", "email", "total_purchases", "created_at"]
 PAGE_OFFSET, PAGE_SIZE = 50, 25
+DEEP_OFFSET, MERGE_PARTS = 1_000, 32
 # In the grown table nine of ten customers share an address.
 SHARED_EMAIL, LOST_TOKEN = "everyone@example.com", "tok_lost"
 # No slice of a vault counts as small, so every lookup takes the form of a large one.
@@ -171,6 +173,29 @@ def key_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.key_page(profile(spark, sf_dir), "customer_id", PAGE_OFFSET, PAGE_SIZE)
 
 
+def key_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far into the table, from the files of its own rows."""
+    name, keys = RunStore(spark).name("keys"), profile(spark, sf_dir).select("customer_id")
+    paging.write_page_index(keys, "customer_id", name, rows_per_file=400)
+    return paging.indexed_page(spark, name, "customer_id", DEEP_OFFSET, PAGE_SIZE)
+
+
+def empty_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over a table without rows: it is published, and its report counts nothing."""
+    store = RunStore(spark)
+    nobody = profile(spark, sf_dir).where("customer_id IS NULL")
+    report = publish.tokenize_and_publish(nobody, PII, demo_key(spark), store.name("customer_data"), store.name("vault"))
+    rows = spark.table(store.name("customer_data")).agg(F.count(F.lit(1)).alias("n_published"))
+    return rows.select("n_published", *[F.lit(n).cast("bigint").alias(c) for c, n in (("n_rows", report.n_rows), ("n_tokens", report.n_tokens), ("n_calls", report.n_calls))])
+
+
+def row_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows as dictionaries, with the cap applied by Spark, as JSON text."""
+    ordered = profile(spark, sf_dir).select("customer_id", "loyalty_status", "total_purchases").orderBy("customer_id")
+    found = [(json.dumps(r, sort_keys=True, separators=(",", ":")),) for r in paging.row_dicts(ordered)]
+    return spark.createDataFrame(found, "row string")
+
+
 # Tokenizing
 
 
@@ -242,6 +267,40 @@ def vault_client_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_values(assigned, HexClient)
 
 
+def publish_via_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers published with tokens that a vault chose for them; their plain-text version is gone afterwards."""
+    store, source = RunStore(spark), profile(spark, sf_dir)
+    name = store.name("customer_data")
+    publish.point_view(spark, name, publish.write_version(source, name))
+    publish.publish_via_client(
+        spark.table(name), PII, demo_key(spark), lambda: HmacClient(DEMO_SECRET), name, store.name("vault"), retire=True
+    )
+    return spark.table(name)
+
+
+def _hex_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with reversible tokens, of which no vault knows those of customers who share data."""
+    lost = F.when(F.col("consent_data_sharing"), F.lit("lost_")).otherwise(F.lit(HexClient.PREFIX))
+
+    def token(c: str) -> Column:
+        return F.when(F.trim(c) != "", F.concat(lost, F.lower(F.hex(F.encode(c, "utf-8"))))).otherwise(F.col(c))
+
+    return profile(spark, sf_dir).withColumns({c: token(c) for c in PII.columns})
+
+
+def _client_read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return detokenize_via_client(_hex_table(spark, sf_dir), PII, PhonelessClient, RunStore(spark), MASKED, backoff=0.01)
+
+
+def detokenize_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read masked through a client, where some tokens are unknown and every call for phone numbers fails."""
+    return _client_read(spark, sf_dir)[0]
+
+
+def client_read_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status_counts(_client_read(spark, sf_dir)[1])
+
+
 def parse_token_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = profile(spark, sf_dir).select("customer_id", "email", "loyalty_status")
     token = F.concat(F.lit("TOKEN_"), F.substring(F.md5("email"), 1, 16))
@@ -287,6 +346,16 @@ def vault_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(staging, incoming, ["customer_id"], ["email_token"])
 
 
+def vault_merge_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New e-mail tokens of one customer in fifty merged into a stored table: the other parts' files stay."""
+    name, source = RunStore(spark).name("staging"), profile(spark, sf_dir)
+    write_parts(tok.token_staging(source, PII, demo_key(spark), rn="customer_id"), name, ["customer_id"], MERGE_PARTS)
+    chosen = (F.substring("customer_id", 5, 20).cast("bigint") % 50 == 7) & F.col("email").isNotNull()
+    incoming = source.filter(chosen).select("customer_id", mock_token(F.col("email"), F.col("customer_id")).alias("email_token"))
+    merge_parts(name, incoming, ["customer_id"], ["email_token"], MERGE_PARTS)
+    return spark.table(name).drop(PART)
+
+
 def vault_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicates of a vault with 3-digit hash tokens, which do collide."""
     weak = F.concat(F.lit("TOKEN_"), F.substring(F.md5("value"), 1, 3))
@@ -360,9 +429,16 @@ def _as_role(role: str) -> Query:
 
 
 def policy_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before and after: whether the view exists, and how many e-mail cells show plain text in it and in the table that is left."""
     govern.set_role(spark, "DEMO_AUDITOR")
-    govern.drop_governed_view(spark, _governed_view(spark, sf_dir))
-    return published(spark, sf_dir).table
+    name, p = _governed_view(spark, sf_dir), published(spark, sf_dir)
+    plain = F.count_if(F.contains(F.col("email"), F.lit("@"))).alias("n_plain")
+    before = spark.table(name).agg(F.count(F.lit(1)).alias("n_rows"), plain).first()
+    existed = spark.catalog.tableExists(name)
+    govern.drop_governed_view(spark, name)
+    states = spark.createDataFrame([("before", existed, *before)], "state string, view_exists boolean, n_rows bigint, n_plain bigint")
+    after = p.table.agg(F.count(F.lit(1)).alias("n_rows"), plain)
+    return states.unionByName(after.select(F.lit("after").alias("state"), F.lit(spark.catalog.tableExists(name)).alias("view_exists"), "n_rows", "n_plain"))
 
 
 def policy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,6 +514,29 @@ def access_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.access_matrix(p.table, PII, p.vault.frame, DEMO_POLICY)
 
 
+def access_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every role reads the governed view in a session of its own."""
+    p = published(spark, sf_dir)
+
+    def open_view(session: SparkSession) -> DataFrame:
+        here = published(session, sf_dir)
+        name = f"audited_{uuid.uuid4().hex[:12]}"
+        govern.create_governed_view(name, here.table, PII, here.vault, DEMO_POLICY)
+        return session.table(name)
+
+    return audit.audit_view(spark, open_view, p.table, PII, p.vault.frame, DEMO_POLICY)
+
+
+def tokenization_status_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of a table some of whose tokens the vault has lost."""
+    p = published(spark, sf_dir)
+    return audit.tokenization_status(p.table, PII, p.vault.frame.where("column_name <> 'email' OR length(value) % 3 <> 0"))
+
+
+def row_count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.row_count_validation(table(spark, sf_dir, "customer"), pii_rows(spark, sf_dir))
+
+
 def access_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the audit reports of a vault that has lost the e-mail values of a length divisible by three."""
     p = published(spark, sf_dir)
@@ -488,15 +587,14 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def publish_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publish plain text as version 1, tokenize it into version 2, move the view, drop version 1."""
+    """Publish plain text as version 1, tokenize it into version 2, move the view and retire version 1."""
     store = RunStore(spark)
     database = f"veilspark_{uuid.uuid4().hex[:12]}"
     spark.sql(f"CREATE DATABASE {database} LOCATION '{store.path(database)}'")
     name = f"{database}.customer_data"
     plain = publish.write_version(profile(spark, sf_dir), name)
     publish.point_view(spark, name, plain)
-    publish.tokenize_and_publish(spark.table(name), PII, demo_key(spark), name, f"{database}.vault")
-    publish.drop_version(spark, plain)
+    publish.tokenize_and_publish(spark.table(name), PII, demo_key(spark), name, f"{database}.vault", retire=True)
     return spark.table(name)
 
 
@@ -531,6 +629,9 @@ QUERIES: dict[str, Query] = {
     "snapshot_row_number": snapshot_row_number,
     "batch_plan": batches,
     "key_page": key_page,
+    "key_page_deep": key_page_deep,
+    "row_dicts": row_dicts,
+    "empty_run": empty_run,
     "tokenize_hmac": tokenize_hmac,
     "token_staging": token_staging,
     "token_merge": token_merge,
@@ -541,10 +642,14 @@ QUERIES: dict[str, Query] = {
     "mock_update_all_pages": mock_update_all_pages,
     "vault_assigned_tokens": vault_assigned_tokens,
     "vault_client_read": vault_client_read,
+    "publish_via_client": publish_via_client,
+    "detokenize_via_client": detokenize_client,
+    "client_read_status": client_read_status,
     "parse_token_reply": parse_token_reply,
     "vault_build": vault_build,
     "vault_refresh": vault_refresh,
     "vault_upsert": vault_upsert,
+    "vault_merge_partial": vault_merge_partial,
     "vault_duplicates": vault_duplicates,
     "detokenize_plain": _detokenize(PLAIN_TEXT),
     "detokenize_masked": _detokenize(MASKED),
@@ -568,7 +673,10 @@ QUERIES: dict[str, Query] = {
     "tokenization_summary": tokenization_summary,
     "tokenization_status": tokenization_status,
     "access_matrix": access_matrix,
+    "access_audit": access_audit,
     "access_violations": access_violations,
+    "tokenization_status_incomplete": tokenization_status_incomplete,
+    "row_count_mismatch": row_count_mismatch,
     "table_report": table_report,
     "avg_purchases_by_loyalty": _average_by("loyalty_status"),
     "avg_purchases_by_consent_marketing": _average_by("consent_marketing"),

@@ -6,11 +6,11 @@ from conftest import SECRET, rows
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from entry_clients import HexClient, HmacClient
 from veilspark.functions.replies import token_in_reply, token_of_record
 from veilspark.operators import assign
 from veilspark.operators import tokenize as tok
 from veilspark.operators.vault import distinct_cells
-from veilspark.sources.client import HexClient, HmacClient
 from veilspark.sources.customers import CUSTOMER_PII, generate_customers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

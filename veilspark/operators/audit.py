@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.cells import readable, text, tokenizable
 from veilspark.functions.masking import REDACTED_TEXT, visible
+from veilspark.operators.govern import set_role
 from veilspark.operators.vault import known_tokens, unresolved
 from veilspark.spec import DEFAULT_BATCH_SIZE, MASKED, MODES, PiiSpec, Policy
 
@@ -152,6 +153,62 @@ def access_violations(matrix: DataFrame) -> DataFrame:
     )
 
 
+def _multiset(cell: Column, times: Column) -> Column:
+    """A sum over hashes that is equal for equal multisets of cells, in whatever order they come."""
+    known = F.coalesce(F.xxhash64(F.coalesce(cell, F.lit("")), cell.isNull()), F.lit(0))
+    return F.sum(known.cast("decimal(38,0)") * times.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def _expected(mode: str | None, token: Column, value: Column, on_unknown: str) -> Column:
+    """What a role of this mode is to see, written down apart from the view's own rule, from the vault's value alone."""
+    if mode == "PLAIN_TEXT":
+        return F.coalesce(value, token)
+    if mode == MASKED:
+        at = F.instr(value, "@")
+        stars = F.rpad(F.lit(""), F.length(value), "*")
+        short = F.concat(F.left(value, F.lit(1)), F.lit("***"), F.right(value, F.lit(2)))
+        return F.when(value.isNull(), token).when(at > 1, F.concat(F.left(value, F.lit(1)), F.lit("***@"), F.element_at(F.split(value, "@"), -1))).when(F.length(value) < 4, stars).otherwise(short)
+    if mode is None:
+        return token
+    hidden = F.coalesce(readable(token), F.lit(False)) if on_unknown == "redact" else value.isNotNull()
+    return F.when(hidden, F.lit(REDACTED_TEXT)).otherwise(token)
+
+
+def audit_view(
+    spark: SparkSession,
+    open_view: Callable[[SparkSession], DataFrame],
+    tokenized: DataFrame,
+    spec: PiiSpec,
+    vault: DataFrame,
+    policy: Policy,
+    unlisted: str = "PUBLIC",
+    on_unknown: str = "redact",
+) -> DataFrame:
+    """`(role, column_name, mode, n_cells, n_expected, matches)`: each role's own read of the view against what its mode allows.
+
+    `open_view` makes the view in the session it is given and returns it. Every role gets a new session, as a user would,
+    so a wrong rule in the view, a wrong policy, or a role that is not switched shows. The cells a role sees are compared as a multiset per
+    column with those expected of the table's distinct tokens; a few numbers per role and column reach the driver.
+    """
+    found = known_tokens(tokenized, spec, vault)
+    roles: list[tuple[str, str | None]] = [*sorted(policy.roles.items()), (unlisted, None)]
+    modes = list(dict.fromkeys(mode for _, mode in roles))
+    sums = [_multiset(_expected(mode, F.col("token"), F.col("value"), on_unknown), F.col("n_cells")).alias(f"sum_{k}") for k, mode in enumerate(modes)]
+    wanted = {r["column_name"]: r for r in found.groupBy("column_name").agg(F.sum("n_cells").alias("n"), *sums).collect()}
+    rows = []
+    for role, mode in roles:
+        session = spark.newSession()
+        for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+            session.conf.set(name, spark.conf.get(name))
+        set_role(session, role)
+        view = open_view(session)
+        seen = view.agg(F.count(F.lit(1)).alias("n"), *[_multiset(text(c), F.lit(1)).alias(c) for c in spec.columns]).first()
+        for c in spec.columns:
+            n, total = (wanted[c]["n"], wanted[c][f"sum_{modes.index(mode)}"]) if c in wanted else (0, None)
+            rows.append((role, c, mode or "TOKEN", seen["n"], n, seen["n"] == n and seen[c] == total))
+    return spark.createDataFrame(rows, "role string, column_name string, mode string, n_cells bigint, n_expected bigint, matches boolean")
+
+
 def table_report(spark: SparkSession, names: Iterable[str]) -> DataFrame:
     """`(table_name, table_exists, n_rows)`, 0 rows for a table that does not exist."""
     reports: DataFrame | None = None

@@ -72,13 +72,11 @@ def detokenize_few(
 ) -> DataFrame:
     """The first `n` rows of `df` under `mode`, without a shuffle of the vault.
 
-    The rows are written first, still as tokens, so that finding them is not repeated per column.
-    More than FEW_ROWS rows are read the way a whole table is.
+    The rows are written first, still as tokens, so that finding them is not repeated per column and every column is of the same rows.
+    More than FEW_ROWS rows are then read the way a whole table is.
     """
-    rows = df.limit(n)
-    if n > FEW_ROWS:
-        return detokenize(rows, spec, vault, mode, on_unknown=on_unknown)
-    return detokenize(store.write(rows, name), spec, vault, mode, on_unknown=on_unknown, few=True)
+    rows = store.write(df.limit(n), name if n <= FEW_ROWS else f"{name}_{n}")
+    return detokenize(rows, spec, vault, mode, on_unknown=on_unknown, few=n <= FEW_ROWS)
 
 
 def govern(

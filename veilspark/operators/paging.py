@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.operators.numbering import number_rows
@@ -35,6 +35,32 @@ def key_page(df: DataFrame, key: str, offset: int, size: int, store: RunStore |
     return numbered.filter(F.col("rn").between(offset + 1, offset + size)).select(key)
 
 
+def write_page_index(df: DataFrame, key: str, table: str, rows_per_file: int = 1_000_000) -> None:
+    """Write `df` in key order to `table`, a file for each range of keys, and the place of each range to `<table>__ranges`.
+
+    The ranges are found by sampling keys, so files hold about, not exactly, `rows_per_file` rows; other columns break ties, so that one
+    repeated key fills no file. Built once, it serves pages at any offset.
+    """
+    parts = max(1, -(-df.count() // rows_per_file))
+    ties = [c for c in df.columns if c != key]
+    placed = df.repartitionByRange(parts, key, *ties).sortWithinPartitions(key, *ties)
+    placed.withColumn("__range", F.spark_partition_id()).write.format("parquet").partitionBy("__range").saveAsTable(table)
+    ranges = df.sparkSession.table(table).groupBy("__range").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n_rows"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    ranges = ranges.withColumn("start", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)))
+    ranges.coalesce(1).write.format("parquet").saveAsTable(f"{table}__ranges")
+
+
+def indexed_page(spark: SparkSession, table: str, key: str, offset: int, size: int) -> DataFrame:
+    """The rows at positions offset+1..offset+size in key order of a table of `write_page_index`: reads the files of these positions alone."""
+    ranges = spark.table(f"{table}__ranges")
+    held = ranges.filter((F.col("start") < offset + size) & (F.col("start") + F.col("n_rows") > offset)).orderBy("start").collect()
+    rows = spark.table(table).filter(F.col("__range").isin([r["__range"] for r in held])).drop("__range")
+    first = held[0]["start"] if held else 0
+    ties = [c for c in rows.columns if c != key]
+    return rows.orderBy(key, *ties).offset(offset - first).limit(size)
+
+
 def mock_update_page(df: DataFrame, spec: PiiSpec, page: DataFrame, seed: int = 0) -> DataFrame:
     """The whole table, with mock tokens assigned in the rows whose key is in `page`."""
     (key,) = spec.key

@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.cells import text, tokenizable
 from veilspark.functions.tokens import TokenKey
+from veilspark.operators.assign import CallLimits
+from veilspark.operators.ledger import RequestLedger, Sent
 from veilspark.operators.lookup import LookupLimits, measure
-from veilspark.operators.tokenize import tokenize
+from veilspark.operators.tokenize import merge_tokens, tokenize
 from veilspark.operators.vault import (
     VAULT_OPTIONS,
+    Vault,
     addition_conflicts,
     build_vault,
+    distinct_cells,
+    find_tokens,
     is_unique,
+    missing_cells,
     save_known,
     save_slices,
     save_summary,
@@ -26,6 +32,7 @@ from veilspark.operators.vault import (
     vault_duplicates,
     with_filter_bits,
 )
+from veilspark.sources.client import ClientFactory
 from veilspark.sources.store import RunStore
 from veilspark.spec import DEFAULT_BATCH_SIZE, PiiSpec
 
@@ -79,20 +86,25 @@ def drop_version(spark: SparkSession, version: str) -> None:
 
 
 def _cell_counts(df: DataFrame, spec: PiiSpec) -> dict[str, int]:
-    """Rows, and per protected column the cells that are non-blank and not null, in one scan."""
+    """In one scan: rows, per protected column the cells that are non-blank and not null, and per other column a sum of hashes.
+
+    A hash covers the cell and the row's key, so cells that change places change the sums.
+    """
     counts = [F.count(F.lit(1)).alias("n_rows")]
     for c in spec.columns:
         counts.append(F.count_if(tokenizable(text(c))).alias(f"{c}__filled"))
         counts.append(F.count(c).alias(f"{c}__present"))
+    for c in spec.passthrough(df):
+        counts.append(F.sum(F.xxhash64(*spec.key, F.to_json(F.struct(c))).cast("decimal(38,0)")).alias(f"{c}__content"))
     return df.agg(*counts).first().asDict()
 
 
 def check_version(source: DataFrame, version: DataFrame, spec: PiiSpec) -> dict[str, int]:
-    """Fail unless the written version has the source's rows, filled cells and nulls."""
+    """Fail unless the written version has the source's rows, filled cells, nulls, and the content of all columns that are not protected."""
     before, after = _cell_counts(source, spec), _cell_counts(version, spec)
-    wrong = {k: (before[k], after[k]) for k in before if before[k] != after[k]}
+    wrong = {k: (before[k], after.get(k)) for k in before if before[k] != after.get(k)}
     if wrong:
-        raise PublishError(f"counts differ (source, version): {wrong}")
+        raise PublishError(f"counts or contents differ (source, version): {wrong}")
     return after
 
 
@@ -158,16 +170,70 @@ def tokenize_and_publish(
     batch_size: int = DEFAULT_BATCH_SIZE,
     buckets: int = 0,
     limits: LookupLimits = LookupLimits(),
+    retire: bool = False,
 ) -> PublishReport:
     """Tokenize `source`, store the vault, write and check a version of `table`, move the view.
 
     The vault is complete before a token becomes visible. The version is checked as it was written,
     not from task counters, which a re-run task could add to twice. A failed check drops the
-    version and raises; the view is moved last.
+    version and raises; the view is moved last. `retire` drops the earlier versions after that, the plain text with them; running
+    readers of the old view then fail.
     """
-    spark = source.sparkSession
     vault = publish_vault(source, spec, key, vault_table, buckets, limits)
-    version = write_version(tokenize(source, spec, key), table)
+    return _publish_version(source, tokenize(source, spec, key), spec, table, vault_table, vault, batch_size, retire)
+
+
+def publish_via_client(
+    source: DataFrame,
+    spec: PiiSpec,
+    key: TokenKey,
+    client: ClientFactory,
+    table: str,
+    vault_table: str,
+    batch_size: int = DEFAULT_BATCH_SIZE,
+    connections: int = 8,
+    call_limits: CallLimits = CallLimits(),
+    buckets: int = 0,
+    limits: LookupLimits = LookupLimits(),
+    retire: bool = False,
+) -> tuple[PublishReport, Sent]:
+    """`tokenize_and_publish` with tokens that the vault behind `client` chooses.
+
+    Every distinct value that the vault table lacks is sent once, by a `RequestLedger`. Started again after it died
+    at any point, it sends only what has no written reply, and goes on from there.
+    """
+    spark = source.sparkSession
+    ledger = RequestLedger(spark, vault_table)
+    with RunStore(spark) as store:
+        known = spark.table(vault_table) if spark.catalog.tableExists(vault_table) else None
+        cells = distinct_cells(source, spec) if known is None else missing_cells(source, spec, known)
+        told, sent = ledger.assign(cells, key, client, store, batch_size, connections, call_limits)
+        added = store.write(told, "told")
+        if added.count() != sent.needed:
+            raise PublishError(f"{sent.needed} values need a token, {added.count()} have one")
+        if sent.needed or known is None:
+            append_to_vault(added, vault_table, buckets, limits)
+    ledger.forget()
+    vault = Vault.stored(spark, vault_table, limits)
+    found = find_tokens(source, spec.columns, vault, spec.key)
+    tokenized = merge_tokens(found, spec, {c: F.col(f"{c}_token") for c in spec.columns}).select(*source.columns)
+    return _publish_version(source, tokenized, spec, table, vault_table, vault.frame, batch_size, retire), sent
+
+
+def _publish_version(
+    source: DataFrame,
+    tokenized: DataFrame,
+    spec: PiiSpec,
+    table: str,
+    vault_table: str,
+    vault: DataFrame,
+    batch_size: int,
+    retire: bool,
+) -> PublishReport:
+    """Write `tokenized`, which was made of `source`, as a version, check it, and move the view to it."""
+    spark = source.sparkSession
+    earlier = versions(spark, table)
+    version = write_version(tokenized, table)
     try:
         written = spark.table(version)
         counts = check_version(source, written, spec)
@@ -177,5 +243,7 @@ def tokenize_and_publish(
         raise
     save_summary(spark, vault_table, table, written, spec)
     point_view(spark, table, version)
+    for old in earlier if retire else ():
+        drop_version(spark, old)
     filled = [counts[f"{c}__filled"] for c in spec.columns]
     return PublishReport(version, counts["n_rows"], sum(filled), sum(-(-n // batch_size) for n in filled))

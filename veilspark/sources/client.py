@@ -1,14 +1,10 @@
-"""The batch client of a vault that assigns tokens itself, and two in-process stand-ins."""
+"""The batch client of a vault that assigns tokens itself. The package holds no client: a caller brings one."""
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 from collections.abc import Callable
 from typing import Any, Protocol
 
-from veilspark.functions.tokens import TOKEN_PREFIX
-
 
 class VaultClient(Protocol):
     """One connection. Built inside a task by a `ClientFactory`, so it need not be picklable.
@@ -22,37 +18,3 @@ class VaultClient(Protocol):
 
 
 ClientFactory = Callable[[], VaultClient]
-
-
-class HmacClient:
-    """Assigns the HMAC token. Knows no values, so it cannot detokenize."""
-
-    def __init__(self, secret: bytes) -> None:
-        self._secret = secret
-
-    def insert(self, column: str, values: list[str], request_ids: list[str]) -> list[dict[str, Any]]:
-        def token(value: str) -> str:
-            digest = hmac.new(self._secret, f"{column}|{value}".encode(), hashlib.sha256)
-            return TOKEN_PREFIX + digest.hexdigest()
-
-        return [{"tokens": {column: token(v)}} for v in values]
-
-    def detokenize(self, tokens: list[str], redaction: str) -> list[dict[str, Any]]:
-        return [{} for _ in tokens]
-
-
-class HexClient:
-    """Assigns `hex_` and the UTF-8 bytes in hex: reversible, for round-trip checks only."""
-
-    PREFIX = "hex_"
-
-    def insert(self, column: str, values: list[str], request_ids: list[str]) -> list[dict[str, Any]]:
-        return [{"token": self.PREFIX + v.encode().hex()} for v in values]
-
-    def detokenize(self, tokens: list[str], redaction: str) -> list[dict[str, Any]]:
-        def record(token: str) -> dict[str, Any]:
-            if not token.startswith(self.PREFIX):
-                return {}
-            return {"value": bytes.fromhex(token[len(self.PREFIX) :]).decode()}
-
-        return [record(t) for t in tokens]
