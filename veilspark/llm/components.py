@@ -3,7 +3,8 @@
 Rounds of large-star and small-star: every node links its larger neighbours, then its smaller ones, to the
 smallest node it knows. The links become stars around the smallest node of each component, in a number
 of rounds that grows with the logarithm of the longest path. Every round reads and writes a table in
-the shared folder; only its row count and a checksum reach the driver.
+the shared folder; only its row count and a checksum reach the driver. Nodes are of any type that sorts; of `links` only the two named
+columns are read, links of a node to itself and repeated links change nothing, and without links there are no rows.
 """
 
 from __future__ import annotations
