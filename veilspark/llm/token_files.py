@@ -34,7 +34,7 @@ from veilspark.llm.common import worker_state
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 #: Texts go to the tokenizer in portions of about so many bytes.
-_PORTION = 12 << 20
+_PORTION = 8 << 20
 #: Texts that are not cut at their spaces: with other white space than single spaces and line ends between words.
 _ODD = "^ | $|  |\n\n| \n|\n |[\t\x0b-\r\x1c-\x1f\x00\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Bytes of words whose ids a worker keeps; beyond, the older half goes. With the ids, about three times as much.
@@ -81,17 +81,15 @@ class _Encoder:
             half = len(self.words) // 2
             first = self.starts[half]
             self.words, self.ids, self.starts = pa.concat_arrays([self.words.slice(half)]), self.ids[first:].copy(), self.starts[half:] - first
-        where = pc.index_in(words, value_set=self.words)
-        new = words.filter(pc.is_null(where))
-        if len(new):
+        where = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = where < 0
+        if unknown.any():
+            new = words.filter(pa.array(unknown))
             ids, sizes = self._encoded(pc.binary_join_element_wise(" ", new, "").to_pylist())
-            known = len(self.words)
+            where[unknown] = np.arange(len(self.words), len(self.words) + len(new))
             self.words = pa.concat_arrays([self.words, new])
             self.ids, self.starts = np.concatenate((self.ids, ids)), np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
-            where = where.to_numpy(zero_copy_only=False)
-            where[np.isnan(where)] = np.arange(known, len(self.words))
-            return where.astype(np.int64)
-        return where.to_numpy(zero_copy_only=False).astype(np.int64)
+        return where
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's ids end in it."""
