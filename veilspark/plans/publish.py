@@ -94,8 +94,10 @@ def _cell_counts(df: DataFrame, spec: PiiSpec) -> dict[str, int]:
     for c in spec.columns:
         counts.append(F.count_if(tokenizable(text(c))).alias(f"{c}__filled"))
         counts.append(F.count(c).alias(f"{c}__present"))
+    kinds = dict(df.dtypes)
     for c in spec.passthrough(df):
-        counts.append(F.sum(F.xxhash64(*spec.key, F.to_json(F.struct(c))).cast("decimal(38,0)")).alias(f"{c}__content"))
+        cell = F.to_json(F.struct(c)) if "map<" in kinds[c] else F.col(c)  # maps have no hash
+        counts.append(F.sum(F.xxhash64(*spec.key, cell).cast("decimal(38,0)")).alias(f"{c}__content"))
     return df.agg(*counts).first().asDict()
 
 
