@@ -34,11 +34,11 @@ from veilspark.llm.common import worker_state
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 #: Texts go to the tokenizer in portions of about so many bytes.
-_PORTION = 3 << 20
+_PORTION = 4 << 20
 #: Texts that are not cut at their spaces: with other white space than single spaces and line ends between words.
 _ODD = "^ | $|  |\n\n| \n|\n |[\t\x0b-\r\x1c-\x1f\x00\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Bytes of words whose ids a worker keeps; beyond, the older half goes. With the ids, about three times as much.
-_KEPT = 10 << 20
+_KEPT = 24 << 20
 
 
 def _portions(texts: pa.StringArray) -> Iterator[pa.StringArray]:
