@@ -464,9 +464,8 @@ ORACLES: dict[str, str] = {
     "policy_customer_service": read("MASKED"),
     "policy_marketing": redacted_view(),
     "policy_other": SELECT_TOKENIZED,
-    "policy_removed": f"""WITH {PROFILE} SELECT 'before' AS state, true AS view_exists, count(*) AS n_rows,
-      count(*) FILTER (WHERE email LIKE '%@%') AS n_plain FROM profile
-      UNION ALL SELECT 'after', false, count(*), 0 FROM profile""",
+    "policy_removed": f"""SELECT 'before' AS state, true AS view_exists, {ALL} FROM ({read("PLAIN_TEXT")})
+      UNION ALL SELECT 'after', false, {ALL} FROM ({SELECT_TOKENIZED})""",
     "policy_filter": FILTERED,
     "mask_alias": f"""WITH {TOKENIZED} SELECT column_name, n_cells, value AS plain, {mask("value")} AS by_role,
       {mask("value")} AS by_alias, '*REDACTED*' AS redacted FROM vault""",

@@ -29,3 +29,15 @@ def test_query_equals_duckdb(spark, con, name):
 
 def test_flagship_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_policy_removed_returns_every_row(spark):
+    got = entry.queries()["policy_removed"](spark, FOLDER)
+    customers = spark.read.parquet(f"{FOLDER}/customer.parquet").count()
+    assert {(r["state"], r["view_exists"]): r["count"] for r in got.groupBy("state", "view_exists").count().collect()} == {
+        ("before", True): customers,
+        ("after", False): customers,
+    }
+    plain = got.where("email LIKE '%@%'").select("state").distinct().collect()
+    assert [r["state"] for r in plain] == ["before"]
+    assert "customer_id" in got.columns
