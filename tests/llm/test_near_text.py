@@ -73,3 +73,30 @@ def test_ids_that_are_null_or_repeated(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, "other")], "doc_id long, text string")
     rows = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     assert sorted(map(tuple, rows), key=repr) == sorted([(5, "a b c d e f"), (None, "other")], key=repr)
+
+
+def test_stage_links_by_fingerprints(spark, monkeypatch):
+    """Near copies that SimHash finds are linked by it: with no other candidates they still form a group."""
+    rng = np.random.default_rng(5)
+    text = [str(w) for w in rng.choice([f"w{k}" for k in range(3000)], 900)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text, "tail"])), (3, " ".join(rng.permutation(text)))]
+    monkeypatch.setattr(near_text, "_repeated_entries", lambda signed: spark.createDataFrame([], "h long, node long, size long, at long"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_marks_bound_the_difference():
+    rng = np.random.default_rng(6)
+
+    def bits(a, b):
+        while len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        return int(np.bitwise_count(a ^ b).sum())
+
+    for n in (0, 1, 5, 256, 257, 1000, 1024, 1025, 3000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(2))
+        near = np.union1d(a[n // 10 :], b[: n // 20])
+        large, small = sorted((near_text._marks(a), near_text._marks(near)), key=len, reverse=True)
+        assert bits(large, small) <= len(np.setxor1d(a, near))
+        if n >= 1000:  # unlike texts of any length go before their shingles are fetched
+            assert bits(near_text._marks(a), near_text._marks(b)) * 9 > 2 * n

@@ -1,13 +1,19 @@
 """Near copies by text: groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The join is exact. Shingles are 64-bit XXH64 values, and equal sets are one node. Nodes with n shingles, put in one global order, can
+SimHash comes first: a text's fingerprint has the bits that are set in over half of its shingles' hashes, repeats included
+(`simhash`, there with three words), and what `simhash.near_links` finds within `RADIUS` bits, the radius published with the method, is a candidate.
+Similar texts may differ in more bits, about ten at a similarity of 0.8, so an exact join follows, and the groups are exact.
+
+Shingles are 64-bit XXH64 values, and equal sets are one node. Nodes with n shingles, put in one global order, can
 only be similar if they share one of their first n - ceil(0.8 n) + 1 shingles (prefix filter), are alike in size (length
 filter) and have enough shingles left after the first shared one (positional filter). The order changes no result; shingles that a
 sample of the documents repeats come last, so that a common passage is in few prefixes.
 
-What shares a prefix shingle is a candidate, and each candidate pair is counted in full. First every node is compared with
-one typical copy: of the nodes that have most repeated shingles, one for each shingle, the one it shares most shingles with. Then the pairs
-that are still in different components are compared, and only these: a large group of near copies is mostly one component by then.
+Each candidate pair is counted in full. First come those of the fingerprints, and every node with
+one typical copy: of the nodes that have most repeated shingles, one for each shingle it has in its prefix, the one it shares most of them with. Then the pairs
+that share a prefix shingle and are still in different components are compared, and only these: a large group of near copies is mostly one
+component by then. Sets differ in at least as many shingles as their marks differ in bits, so pairs whose marks differ
+too much go before any shingles are fetched, and the shingles of a text are cut again only if it is in a pair that is left.
 
 A text of fewer than five words is one shingle. Texts without words, null ones included, have the empty set, and so are one group.
 Documents are kept in a struct meanwhile, so no column name can clash. Without documents nothing is kept.
@@ -23,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm import simhash
 from veilspark.llm.common import packed, spaced_words, staged, unpacked, utf8
 from veilspark.llm.components import components
 
@@ -31,23 +38,30 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 #: About so many documents are sampled, and a shingle that so many of them hold comes late in the order.
 SAMPLE, REPEATED = 10_000, 10
-#: Words of 64 bits that mark the shingles of a node.
-MARKS = 16
-#: Pairs whose node numbers are broadcast: 8 bytes each.
+#: Bits in which fingerprints of candidates may differ.
+RADIUS = 3
+#: Words of 64 bits that mark the shingles of a small node.
+MARKS = 4
+#: Pairs whose ends are broadcast: a row number and three node numbers each.
 BROADCAST_PAIRS = 1_000_000
 #: Nodes of a shingle that are compared with each other in one piece.
 PIECE = 500
 
 
-def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
+def shingle_hashes(text: bytes, n: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, in order and with repeats."""
     from xxhash import xxh64_intdigest
 
     words = spaced_words(text)
     if not words:
         return np.array([], np.uint64)
     parts = [words[i : len(words) - n + 1 + i] for i in range(n)] if len(words) >= n else [[b" ".join(words)]]
-    return np.unique(np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*parts, strict=True)), repeat(42)), np.uint64))
+    return np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*parts, strict=True)), repeat(42)), np.uint64)
+
+
+def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, n))
 
 
 def _node(own: np.ndarray) -> int:
@@ -82,16 +96,17 @@ def repeated_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(row, node, size, shared, prefix) of rows `(row, text)`: `shared` is the part of the shingles that a sample repeats."""
+    """(row, node, size, fp, marks, shared, prefix) of rows `(row, text)`: `shared` is the part of the shingles that a sample repeats."""
     hot = rows.sparkSession.sparkContext.broadcast(repeated_shingles(rows))
     p, q = SIMILARITY
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, count = hot.value
         for batch in batches:
-            nodes, sizes, shares, prefixes = [], [], [], []
+            nodes, sizes, prints, marks, shares, prefixes = [], [], [], [], [], []
             for text in utf8(batch.column("text")):
-                own = shingles(text)
+                hashes = shingle_hashes(text)
+                own = np.unique(hashes)
                 rank = np.zeros(len(own), np.int64)
                 if len(late):
                     at = np.minimum(np.searchsorted(late, own), len(late) - 1)
@@ -99,32 +114,39 @@ def signatures(rows: DataFrame) -> DataFrame:
                 length = len(own) - -(-p * len(own) // q) + 1 if len(own) else 0
                 nodes.append(_node(own))
                 sizes.append(len(own))
+                prints.append(simhash.majority(hashes))
+                marks.append(_marks(own))
                 shares.append(float(np.mean(rank > 0)) if len(own) else 0.0)
                 prefixes.append(own[np.lexsort((own, rank))[:length]])
-            columns = [batch.column("row"), _longs(nodes), pa.array(sizes, pa.int64()), pa.array(shares, pa.float64()), _lists(prefixes)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "node", "size", "shared", "prefix"])
+            columns = [_longs(nodes), pa.array(sizes, pa.int64()), _longs(prints), _lists(marks), pa.array(shares, pa.float64()), _lists(prefixes)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "node", "size", "fp", "marks", "shared", "prefix"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", "text").mapInArrow(sign, f"row {kind}, node long, size long, shared double, prefix array<long>")
+    schema = f"row {kind}, node long, size long, fp long, marks array<long>, shared double, prefix array<long>"
+    return rows.select("row", "text").mapInArrow(sign, schema)
 
 
 def _marks(own: np.ndarray) -> np.ndarray:
-    """A bit for each shingle, in `MARKS` words of 64."""
-    bits = np.zeros(MARKS * 64, np.uint8)
-    bits[own % np.uint64(MARKS * 64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    """Bits for the shingles by their hash, each the parity of how many it stands for: about as many as there are shingles, a power of two."""
+    width = max(64 * MARKS, 1 << max(len(own) - 1, 0).bit_length())
+    return np.packbits(np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) % 2 == 1).view(np.uint64)
+
+
+def _folded(marks: Column) -> Column:
+    """Marks of half as many bits."""
+    half = F.shiftright(F.size(marks), 1)
+    return F.zip_with(F.slice(marks, F.lit(1), half), F.slice(marks, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, size, marks, own) of rows `(text)`: the shingles of each."""
+    """(node, own) of rows `(node, text)`: the shingles of each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text) for text in utf8(batch.column(0))]
-            columns = [_longs([_node(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _lists([_marks(s) for s in sets]), _lists(sets)]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "marks", "own"])
+            sets = [shingles(text) for text in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], ["node", "own"])
 
-    return texts.select("text").mapInArrow(cut, "node long, size long, marks array<long>, own array<long>")
+    return texts.select("node", "text").mapInArrow(cut, "node long, own array<long>")
 
 
 def _possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
@@ -134,30 +156,53 @@ def _possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Colum
     return alike & (F.least(n - at, other_n - other_at) * (p + q) >= (n + other_n) * p)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (node, root) among candidate `pairs` (a, b): each is counted in full.
+def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The links (node, root) among distinct candidate `pairs` (a, b): each is counted in full.
 
-    Sets differ in at least as many shingles as their marks differ in bits, so a pair whose marks differ too much goes
-    before its shingles are fetched.
+    A pair whose sizes or marks differ too much goes before its shingles are fetched from `rows`.
     """
     p, q = SIMILARITY
 
-    def side(x: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    def side(x: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("marks").alias(f"marks_{x}"))
+
+    marked = pairs.join(side("a"), "a").join(side("b"), "b")
+    a, b = F.col("marks_a"), F.col("marks_b")
+    # Sizes that are alike have marks of the same width, or of twice that.
+    small_a, small_b = (F.when(F.size(x) > F.size(y), _folded(x)).otherwise(x) for x, y in ((a, b), (b, a)))
+    apart = F.aggregate(F.zip_with(small_a, small_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    alike = F.least("size_a", "size_b") * q >= F.greatest("size_a", "size_b") * p
+    near = F.when(alike, apart * (p + q) <= (F.col("size_a") + F.col("size_b")) * (q - p))
+    maybe = staged(marked.where(near).select("a", "b", "size_a", "size_b"), "maybe")
+
+    few = maybe.count() <= BROADCAST_PAIRS  # else Spark chooses the joins
+    hint = F.broadcast if few else lambda df: df
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("first")), F.struct(F.col("b").alias("node"), F.lit(False).alias("first"))))
+    sides = maybe.select("a", "b", "size_a", "size_b", ends.alias("end")).select("a", "b", "size_a", "size_b", "end.node", "end.first")
+    wanted = staged(nodes.join(hint(sides.select("node").distinct()), "node", "left_semi").select("row", "node"), "wanted")
+    own = _shingle_sets(rows.join(hint(wanted), "row")).join(hint(sides), "node")
+
+    def set_of(first: bool) -> Column:  # rows may come twice, with the same text
+        return F.first(F.when(F.col("first") == first, F.col("own")), ignorenulls=True)
 
-    marked = pairs.join(side("a", "size", "marks"), "a").join(side("b", "size", "marks"), "b")
-    apart = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    maybe = staged(marked.where(apart * (p + q) <= (F.col("size_a") + F.col("size_b")) * (q - p)).select("a", "b"), "maybe")
+    both = own.groupBy("a", "b", "size_a", "size_b").agg(F.size(F.array_intersect(set_of(True), set_of(False))).alias("common"))
+    return both.where(F.col("common") * (p + q) >= (F.col("size_a") + F.col("size_b")) * p).select(F.col("b").alias("node"), F.col("a").alias("root"))
 
-    def shingles_of(x: str) -> DataFrame:
-        nodes = maybe.select(F.col(x).alias("node")).distinct()
-        return sets.join(F.broadcast(nodes), "node", "left_semi").select(F.col("node").alias(x), F.col("own").alias(f"own_{x}"))
 
-    # Up to a bounded number of pairs, only the sets that some pair needs are shuffled.
-    own = shingles_of if maybe.count() <= BROADCAST_PAIRS else lambda x: side(x, "own")
-    both = maybe.join(own("a"), "a").join(own("b"), "b")
-    common = F.size(F.array_intersect("own_a", "own_b"))
-    return both.where(common * (p + q) >= (F.size("own_a") + F.size("own_b")) * p).select(F.col("b").alias("node"), F.col("a").alias("root"))
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) that connect the nodes whose fingerprints `fp` are equal or linked by SimHash."""
+    prints = staged(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "fingerprints")
+    equal = nodes.join(prints, "fp").where("node <> rep").select("node", "rep")
+    links = simhash.near_links(prints.select("fp"), RADIUS)
+    one, two = (prints.select(F.col("fp").alias(x), F.col("rep").alias(f"{x}_rep")) for x in ("node", "root"))
+    linked = links.join(one, "node").join(two, "root").select("node_rep", "root_rep")
+    return _ordered(equal.union(linked))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs of two columns, the smaller one first."""
+    x, y = pairs.columns
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
 def _repeated_entries(signed: DataFrame) -> DataFrame:
@@ -208,35 +253,31 @@ def _crossed(apart: DataFrame) -> DataFrame:
     two = dealt.select("h", F.explode(F.sequence(F.lit(0), "piece")).alias("i"), F.col("piece").alias("j"), *(F.col(c).alias(f"{c}_b") for c in columns))
     met = one.join(two, ["h", "i", "j"]).where("part_a <> part_b AND (i < j OR node_a < node_b)")
     met = met.where(_possible(F.col("size_a"), F.col("at_a"), F.col("size_b"), F.col("at_b")))
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return _ordered(met.select("node_a", "node_b")).distinct()
 
 
 def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows `(row, node)`, `(node, group)` of every node) of rows `(row, text)`."""
     signed = staged(signatures(rows), "signatures")
+    same = [F.first(c).alias(c) for c in ("size", "marks")]
+    nodes = staged(signed.groupBy("node").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), F.max("shared").alias("shared"), *same), "nodes")
     index = staged(_repeated_entries(signed), "prefixes")
     # The most typical node of each prefix shingle; a node is compared with the one of these that it meets most often.
-    shares = signed.groupBy("node").agg(F.max("shared").alias("shared"))
     typical = F.max(F.struct("shared", "node", "size", "at")).alias("hub")
-    hubs = index.join(shares, "node").groupBy("h").agg(typical)
+    hubs = index.join(nodes.select("node", "shared"), "node").groupBy("h").agg(typical)
     near = index.join(hubs, "h").where(F.col("node") != F.col("hub.node")).where(_possible(F.col("size"), F.col("at"), F.col("hub.size"), F.col("hub.at")))
     met = near.groupBy("node", F.col("hub.node").alias("other")).agg(F.count("*").alias("times"))
     best = met.groupBy("node").agg(F.max(F.struct("times", "other")).alias("best"))
-    pairs = best.select(F.col("node").alias("a"), F.col("best.other").alias("b"))  # few nodes are the other one of many
-
-    wanted = signed.join(index.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    # Repeated rows go first: that shuffles the texts once, by row, and the join finds them so. (A semi join would be moved below.)
-    texts = rows.dropDuplicates(["row"]).join(wanted.select("row").distinct(), "row")
-    sets = staged(_shingle_sets(texts), "shingles")
-    links = staged(_similar(pairs, sets), "links")
+    pairs = _ordered(best.select("node", "best.other"))
+    links = staged(_similar(_fingerprint_pairs(nodes).union(pairs).distinct(), nodes, rows), "links")
 
     joined = components(links).select("node", "root")
     placed = index.join(joined, "node", "left").select("h", "node", "size", "at", F.coalesce("root", "node").alias("part"))
     apart = placed.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("h")
     open_ = staged(placed.join(apart, "h"), "apart")
-    links = links.union(staged(_similar(_crossed(open_), sets), "links"))
+    links = links.union(staged(_similar(_crossed(open_), nodes, rows), "links"))
 
-    groups = signed.select("node").distinct().join(components(links), "node", "left")
+    groups = nodes.select("node").join(components(links), "node", "left")
     return signed.select("row", "node"), groups.select("node", F.coalesce("root", "node").alias("group"))
 
 
@@ -249,5 +290,8 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     marked, groups = grouped(docs.select(order.alias("row"), "text"))
     smallest = marked.groupBy("node").agg(F.min("row").alias("row")).join(groups, "node")
     kept = smallest.groupBy("group").agg(F.min("row").alias("row")).select("row")
-    rows = packed(docs, row=order)
-    return unpacked(rows.dropDuplicates(["row"]).join(kept.distinct(), "row"), docs.columns)
+    # One shuffle, by row, both removes repeated rows and finds the ones that stay.
+    rows = packed(docs, row=order).withColumn("kept", F.lit(None).cast("boolean"))
+    both = rows.unionByName(kept.select(F.lit(None).cast(rows.schema["doc"].dataType).alias("doc"), "row", F.lit(True).alias("kept")))
+    found = both.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.max("kept").alias("kept"))
+    return unpacked(found.where("kept"), docs.columns)

@@ -40,7 +40,12 @@ def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
         return 0
     n = max(len(words) - shingle + 1, 1)
     parts = [words[i : i + n] for i in range(shingle)] if len(words) >= shingle else [[b" ".join(words)]]
-    hashes = np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*parts, strict=True)), repeat(seed)), np.uint64, n)
+    return majority(np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*parts, strict=True)), repeat(seed)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes, zero of none."""
+    n = len(hashes)
     # Bits are added as bytes in groups of 255, which cannot overflow, and the groups as integers.
     groups = -(-n // 255)
     padded = np.zeros(groups * 255, np.uint64)
