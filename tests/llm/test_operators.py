@@ -344,3 +344,24 @@ def test_language(spark, docs, empty):
 def test_codewords_differ(n):
     code = language.codebook(n)
     assert len({tuple(row) for row in code}) == n and (np.abs(code.sum(axis=0)) < n).all()
+
+
+def test_scored_words_are_found_as_sets(monkeypatch):
+    """Every word's score as defined, word by word, and each distinct word of a text taken apart once."""
+    scores = {"bad ": 2.0, "awf": 1.5, "awful": 3.0, "awfully ": 0.0}
+    words = [w.encode() for w in ("bad", "badge", "awful", "awfully", "awfulness", "aw", "é", "good")] * 50
+    calls = []
+    own = toxicity._Cache(scores)
+    score = own._score
+    monkeypatch.setattr(own, "_score", lambda word: calls.append(word) or score(word))
+
+    def plain(word):
+        whole, *beginnings = toxicity.tokens_of(word)
+        return scores.get(whole, max((scores[t] for t in beginnings if t in scores), default=0.0))
+
+    want = {w: plain(w) for w in words if plain(w)}
+    assert own.scored(words) == own.scored(words) == want and len(calls) == 8
+    places = [k for k, w in enumerate(words) if w in want]
+    model = toxicity.Model(scores, 1.0, ())
+    assert model.segments(words, own) == toxicity.maximal_segments(places, [want[words[k]] for k in places], toxicity.DRIFT)
+    assert model.segments([b"good"], own) == [] == model.segments([], own)

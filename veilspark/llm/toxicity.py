@@ -57,30 +57,45 @@ class Model:
     scale: float
     logistic: tuple[float, ...]
 
-    def segments(self, words: list[bytes], cache: dict[bytes, float]) -> list[tuple[int, int, float]]:
+    def segments(self, words: list[bytes], cache: _Cache) -> list[tuple[int, int, float]]:
         """(first word, end, score) of every maximal segment."""
-        values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
-        return maximal_segments(np.flatnonzero(values).tolist(), values[values != 0].tolist(), DRIFT)
+        scored = cache.scored(words)
+        if not scored:
+            return []
+        places = [k for k, word in enumerate(words) if word in scored]
+        return maximal_segments(places, [scored[words[k]] for k in places], DRIFT)
 
     def expected(self, score: float, n: int) -> float:
         """Expected number of chance segments of at least `score` in a clean text of `n` words."""
         return CHANCE * n * math.exp(-self.scale * score)
 
 
-class _Cache(dict):
-    """Scores of words seen, so that each is taken apart once; emptied when large."""
+class _Cache:
+    """The words seen, so that each is taken apart once, and the scores of those that have one; emptied when large."""
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.scores = scores
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= _CACHED:
-            self.clear()
-        whole, *beginnings = tokens_of(word)
-        value = self.scores.get(whole)
+        self.seen: set[bytes] = set()
+        self.values: dict[bytes, float] = {}
+
+    def scored(self, words: list[bytes]) -> dict[bytes, float]:
+        """The words of a text whose score is not zero; most have none, and these are found as sets."""
+        own = set(words)
+        if len(self.seen) >= _CACHED:
+            self.seen.clear()
+            self.values.clear()
+        for word in own - self.seen:
+            if value := self._score(word):
+                self.values[word] = value
+        self.seen |= own
+        return {word: self.values[word] for word in own & self.values.keys()}
+
+    def _score(self, word: bytes) -> float:
+        text = word.decode("utf-8", "replace")
+        value = self.scores.get(f"{text} ")
         if value is None:
-            value = max((self.scores[t] for t in beginnings if t in self.scores), default=0.0)
-        self[word] = value
+            found = [self.scores[t] for n in _BEGINNINGS if n <= len(text) and (t := text[:n]) in self.scores]
+            value = max(found, default=0.0)
         return value
 
 
