@@ -365,3 +365,22 @@ def test_scored_words_are_found_as_sets(monkeypatch):
     model = toxicity.Model(scores, 1.0, ())
     assert model.segments(words, own) == toxicity.maximal_segments(places, [want[words[k]] for k in places], toxicity.DRIFT)
     assert model.segments([b"good"], own) == [] == model.segments([], own)
+
+
+@pytest.mark.parametrize("size", [1, 2000, 8000])
+def test_page_groups_change_no_text(spark, monkeypatch, size):
+    """What two pages of a host share is found whatever the groups of the host, and copies of a page share nothing."""
+    rows = []
+    for k in range(40):
+        promo = f"<div>Offer {k // 2} of the month ends on day {k // 2}</div>"
+        own = " ".join(f"word{k}x{n}" for n in range(30))
+        rows.append((k, "http://a.example/x", f"<body><div>Home News Sport Weather Contact</div>{promo}<div>{own}</div></body>"))
+    rows += [(40, "http://a.example/x", rows[7][2]), (41, None, rows[0][2]), (42, "http://a.example/x", None)]
+    rows += [(50 + k, "http://b.example/x", "<body><div>only copies of this page are there</div></body>") for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(tuple, page_text.extract(pages).collect()))
+    monkeypatch.setattr(page_text, "GROUP_BYTES", size)
+    assert sorted(map(tuple, page_text.extract(pages).collect())) == whole
+    text = {r[0]: r[2] for r in whole}
+    assert all(text[k] == " ".join(f"word{k}x{n}" for n in range(30)) for k in range(40))
+    assert text[41].startswith("Home") and text[50] == "only copies of this page are there"

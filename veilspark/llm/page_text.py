@@ -12,8 +12,9 @@ cover is boilerplate. Blocks that are not marked and not covered are the text of
 element; if all of them are covered, the page is a copy, and its unmarked blocks stay.
 
 A host's pages are dealt out in groups of about `GROUP_BYTES`, so a host of any size stays
-within a task's memory; a run is then looked for among pages of the group, and menus and notices, which
-most pages of a host carry, are in every group. Null pages are empty texts. Rows without an url share one
+within a task's memory. Each group has a suffix array of its own, and of a host with several groups the suffixes' first `RUN`
+tokens are also shuffled by their hash: those that pages of different content hold in different groups are handed to these
+groups, so the groups do not change a text. Null pages are empty texts. Rows without an url share one
 host. Repeated pages are equal content and do not make each other boilerplate.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,8 +151,18 @@ def page_blocks(source: str | None) -> list[tuple[str, bool, bool]]:
     return _Page(source or "").blocks
 
 
-def repeated_runs(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """For each stream, which tokens lie in a run of at least `run` tokens that another, different stream has too."""
+def run_hashes(stream: list[str], run: int = RUN) -> np.ndarray:
+    """The hash of the `run` tokens from each place on that has so many."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, map(" ".join, zip(*(stream[k:] for k in range(run)), strict=False))), np.uint64)
+
+
+def repeated_runs(streams: list[list[str]], run: int = RUN, known: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each stream, which tokens lie in a run of at least `run` tokens that another, different stream has too.
+
+    The first `run` tokens of runs that streams elsewhere have are given by their hashes, `known`.
+    """
     content: dict[tuple[str, ...], int] = {}
     number = [content.setdefault(tuple(s), len(content)) for s in streams]
     distinct = list(content)
@@ -178,6 +190,11 @@ def repeated_runs(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
         edge = np.zeros(len(text) + 1, np.int64)
         np.add.at(edge, begins, 1)
         np.add.at(edge, np.minimum(begins + run, len(text)), -1)
+        if known is not None and len(known):
+            for at, own in zip(starts, distinct, strict=False):
+                begins = at + np.flatnonzero(np.isin(run_hashes(list(own), run), known))
+                edge[begins] += 1
+                edge[begins + run] -= 1
         covered = np.cumsum(edge[:-1]) > 0
     return [covered[starts[n] : starts[n] + len(s)] for n, s in zip(number, streams, strict=True)]
 
@@ -186,6 +203,37 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _loose(blocks: list[tuple[str, bool, bool]]) -> list[tuple[list[str], str, bool]]:
+    """(words, text, marked) of the blocks outside articles."""
+    return [(t.split(), t, marked) for t, inside, marked in blocks if not inside]
+
+
+def _stream(loose: list[tuple[list[str], str, bool]]) -> list[str]:
+    return [w for words, _, _ in loose for w in words]
+
+
+def _shared_runs(dealt: DataFrame, run: int) -> DataFrame:
+    """(host, part, start) of `dealt` (host, part, html): hashes of the runs that pages of different content hold in several groups of a host.
+
+    Runs within one group are left to its suffix array.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for k, source in enumerate(batch.column("html").to_pylist()):
+                stream = _stream(_loose(page_blocks(source)))
+                starts = np.unique(run_hashes(stream, run))
+                page = np.full(len(starts), xxh64_intdigest(" ".join(stream)), np.uint64)
+                host, part = (pa.repeat(batch.column(c)[k], len(starts)) for c in ("host", "part"))
+                yield pa.RecordBatch.from_arrays([host, part, pa.array(starts.view(np.int64)), pa.array(page.view(np.int64))], ["host", "part", "start", "page"])
+
+    runs = dealt.select("host", "part", "html").mapInArrow(cut, "host string, part long, start long, page long")
+    held = runs.groupBy("host", "start").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.collect_set("part").alias("parts"))
+    return held.where("low <> high AND size(parts) > 1").select("host", F.explode("parts").alias("part"), "start")
+
+
 def extract(pages: DataFrame, run: int = RUN, covered: float = COVERED) -> DataFrame:
     """(page_id, url, text, n_chars, n_boilerplate) of every row of `pages` (page_id, url, html).
 
@@ -198,11 +246,12 @@ def extract(pages: DataFrame, run: int = RUN, covered: float = COVERED) -> DataF
         large = F.broadcast(large)
     part = F.pmod(F.xxhash64("page_id", "html"), F.coalesce("groups", F.lit(1)))
     dealt = rows.join(large, "host", "left").withColumn("part", part).drop("groups")
+    shared = _shared_runs(rows.join(large, "host").withColumn("part", part), run)
 
-    def keep(group: pa.Table) -> pa.Table:
+    def keep(group: pa.Table, known: pa.Table) -> pa.Table:
         parsed = [page_blocks(source) for source in group.column("html").to_pylist()]
-        loose = [[(t.split(), t, marked) for t, inside, marked in blocks if not inside] for blocks in parsed]
-        found = repeated_runs([[w for words, _, _ in page for w in words] for page in loose], run)
+        loose = [_loose(blocks) for blocks in parsed]
+        found = repeated_runs([_stream(page) for page in loose], run, known.column("start").to_numpy().view(np.uint64))
         texts, counts = [], []
         for blocks, page, repeated in zip(parsed, loose, found, strict=True):
             ends = np.cumsum([len(words) for words, _, _ in page], dtype=np.int64)
@@ -217,5 +266,5 @@ def extract(pages: DataFrame, run: int = RUN, covered: float = COVERED) -> DataF
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_boilerplate long"
-    kept = dealt.groupBy("host", "part").applyInArrow(keep, schema)
+    kept = dealt.groupBy("host", "part").cogroup(shared.groupBy("host", "part")).applyInArrow(keep, schema)
     return kept.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boilerplate")
